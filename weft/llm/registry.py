@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from weft.llm import exact_dedup, secrets
+from weft.llm import exact_dedup, packing, secrets, tokens
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op5_token_files": tokens.op5_token_files,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 SQL = {"op8_exact_dedup": exact_dedup.OP8_SQL}
