@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weft.llm import exact_dedup, packing, secrets, tokens
+from weft.llm import exact_dedup, packing, secrets, tokens, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op3_warc_revisits": warc.op3_warc_revisits,
     "op5_token_files": tokens.op5_token_files,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
