@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weft.llm import chat, exact_dedup, packing, secrets, tokens, warc
+from weft.llm import chat, exact_dedup, packing, secrets, tokens, toxicity, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op3_warc_revisits": warc.op3_warc_revisits,
     "op5_token_files": tokens.op5_token_files,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat_format": chat.op7_chat_format,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
