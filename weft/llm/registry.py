@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weft.llm import chat, exact_dedup, packing, secrets, tokens, toxicity, warc
+from weft.llm import chat, decontamination, exact_dedup, packing, secrets, tokens, toxicity, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_warc_revisits": warc.op3_warc_revisits,
     "op5_token_files": tokens.op5_token_files,
     "op6_toxicity": toxicity.op6_toxicity,
@@ -13,4 +14,4 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-SQL = {"op8_exact_dedup": exact_dedup.OP8_SQL}
+SQL = {"op2_decontamination": decontamination.OP2_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
