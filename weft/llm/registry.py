@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weft.llm import chat, decontamination, exact_dedup, packing, secrets, tokens, toxicity, warc
+from weft.llm import chat, decontamination, exact_dedup, near_dedup, packing, secrets, tokens, toxicity, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_warc_revisits": warc.op3_warc_revisits,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_token_files": tokens.op5_token_files,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat_format": chat.op7_chat_format,
