@@ -42,30 +42,60 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)  # byte-level vocabularies have a letter for each byte
         self.known: dict[str, bytes] = {}
         self.most = most
 
-    def _fresh(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _fresh(self, pieces: list[str], run: int = 200) -> dict[str, bytes]:
+        """Pieces that begin with white space and do not end with it are encoded in long runs, which are then cut by
+        the number of bytes that each token stands for."""
+        joint = [p for p in pieces if p[:1] in (" ", "\n") and p[:1] and not p[-1].isspace()]
+        alone = list(set(pieces) - set(joint))
+        found = dict(zip(alone, self._whole(alone), strict=True))
+        runs = [joint[k : k + run] for k in range(0, len(joint), run)]
+        for own, ids in zip(runs, self._whole(["".join(r) for r in runs]), strict=True):
+            ends = np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])
+            cuts = np.cumsum([len(p.encode()) for p in own])
+            at = np.searchsorted(ends, cuts)
+            if (ends[at] != cuts).any():
+                raise ValueError("a token reaches over white space: this vocabulary is not supported")
+            at = [0, *((at + 1) * 4).tolist()]
+            found.update((p, ids[a:b]) for p, a, b in zip(own, at, at[1:]))
+        return found
+
     def _learn(self, new: set[str]) -> None:
         """A full stop or comma after a letter is a token of its own at the end of a piece."""
         known = self.known
-        if len(known) + len(new) > self.most:
-            known.clear()
         ends = [w for w in new if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()]
         base = list((new - set(ends) | {w[:-1] for w in ends} | {".", ","}) - known.keys())
-        known.update(zip(base, self._fresh(base), strict=True))
+        known.update(self._fresh(base))
         known.update((w, known[w[:-1]] + known[w[-1]]) for w in ends)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.most:
+            self.known.clear()
         cut = [None if _JOINT_SPACE.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") for t in texts]
-        if new := {w for pieces in cut if pieces for w in pieces} - self.known.keys():
+        get, new, gaps = self.known.get, set(), []
+        ids = [[] if pieces is None else list(map(get, pieces)) for pieces in cut]
+        for k, own in enumerate(ids):
+            own.append(None)
+            at = own.index(None)
+            while at < len(own) - 1:
+                gaps.append((k, at))
+                new.add(cut[k][at])
+                at = own.index(None, at + 1)
+            own.pop()
+        if new:
             self._learn(new)
-            if lost := {w for pieces in cut if pieces for w in pieces} - self.known.keys():
-                self._learn(lost)
-        of = self.known.__getitem__
-        return [self._fresh([t])[0] if pieces is None else b"".join(map(of, pieces)) for t, pieces in zip(texts, cut, strict=True)]
+            for k, at in gaps:
+                ids[k][at] = self.known[cut[k][at]]
+        return [self._whole([t])[0] if pieces is None else b"".join(own) for t, pieces, own in zip(texts, cut, ids, strict=True)]
 
 
 @lru_cache(2)
