@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import chat, decontamination, exact_dedup, near_dedup, packing, secrets, tokens, toxicity, warc
+from weft.llm import chat, decontamination, exact_dedup, near_dedup, packing, repeats, secrets, tokens, toxicity, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat_format": chat.op7_chat_format,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_repeat_removal": repeats.op9_repeat_removal,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 SQL = {"op2_decontamination": decontamination.OP2_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
