@@ -7,6 +7,7 @@ the base of each shard, the prefix sum of the shards' token counts. Readers memo
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -35,7 +36,7 @@ class Encoder:
     there and each distinct piece is encoded once; texts with longer white space are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,6 +79,13 @@ class Encoder:
         known.update((w, known[w[:-1]] + known[w[-1]]) for w in ends)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        gc.disable()  # millions of strings live on and none refers to another: looking through them finds nothing
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
             self.known.clear()
         cut = [None if _JOINT_SPACE.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") for t in texts]
