@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,13 +47,36 @@ def scratch(spark: SparkSession, name: str) -> str:
     return folder
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What an action within has shuffled is deleted when the action ends, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: the lineage ends here, and lost executors lose nothing."""
     folder = scratch(df.sparkSession, name) + "/t"
-    df.write.parquet(folder)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def only(docs: DataFrame, digest: Column, id_col: str, kept: DataFrame) -> DataFrame:
+    """The rows whose id and digest are in ``kept`` (i, key), one row for each: one shuffle of the documents."""
+    name = lambda i, key: F.concat_ws(":", i.cast("string"), F.hex(key))
+    kept = kept.select(name(F.col("i"), F.col("key")).alias("_name")).distinct()
+    return docs.withColumn("_name", name(F.col(id_col), digest)).join(kept, "_name", "left_semi").dropDuplicates(["_name"]).drop("_name")
+
+
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -3,17 +3,19 @@
 Depth-limited radix sort on sampled suffixes. To order all suffixes through ``DEPTH`` bytes, a record for each byte of the
 corpus would be shuffled. Instead suffixes are sampled where the text itself says so: of the 33 places in a window of
 50 bytes where 18 bytes begin, the one with the smallest hash is an anchor. Equal windows have equal anchors, so the sort
-of anchors finds every repeated window, with one record for about 17 bytes. Three passes go from the most significant
+of anchors finds every repeated window, with one record for about 17 bytes. Four passes go from the most significant
 digit to the full depth, and groups of one leave after each:
 
 1. the 18 bytes at the anchor;
 2. its context, the 82 bytes that all windows over the anchor lie in: where it is that of the smallest document, all
    these windows repeat, and nothing more is asked;
-3. at the remaining anchors, where contexts differ, the windows of 50 bytes themselves.
+3. at the remaining anchors, where contexts differ, 16 bytes more on either side: each window has one of the two;
+4. the windows of 50 bytes on the sides that are left.
 
 Digits are 64-bit hashes (48 bits in the first pass, whose groups later passes split again). Each pass combines in the
 input partition first: a partition sends one record for each digit it has, with its smallest document, so a passage that
-a third of all documents share is one record per partition. Answers go back to the partition as one file under the shared folder.
+a third of all documents share is one record per partition. Answers go back to the partition as one file under the shared
+folder; what a pass has shuffled is deleted when it ends.
 """
 
 from __future__ import annotations
@@ -28,11 +30,12 @@ from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import file_system, put_whole, scratch, table, tasks, text_of
+from weft.llm.common import file_system, put_whole, scratch, shuffles_freed, table, tasks, text_of
 from weft.llm.words import _powers_to, mix, series, slices
 
 DEPTH, GRAM = 50, 18
 WIDTH = DEPTH - GRAM + 1
+SIDE = (DEPTH - GRAM) // 2
 _LOW = np.uint64((1 << 48) - 1)
 _VALUES = series(256, 21)
 _NO_ID = np.iinfo(np.int64).min
@@ -115,12 +118,28 @@ class Resolved:
         self.open, self.context = some[left], context[left]
 
 
-def _windows(part: Part, anchors: np.ndarray, gone: np.ndarray) -> np.ndarray:
-    """Starts of the windows over these anchors that do not lie in a context that goes anyway."""
+def _sides(part: Part, anchors: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """For either side of these anchors: (digit, is it whole, first and last start of the windows that have it)."""
+    p, begin, end = part.anchors[anchors], part.at[part.owner[anchors]], part.at[part.owner[anchors] + 1]
+    low, high = np.maximum(begin, p - WIDTH + 1), np.minimum(p, end - DEPTH)
+    out = []
+    for left, right, first, last, mark in ((0, SIDE, p - (DEPTH - GRAM - SIDE), p, 0), (SIDE, 0, p - WIDTH + 1, p - SIDE, 1)):
+        a, b = p - left, p + GRAM + right
+        ok = (a >= begin) & (b <= end)
+        digit = part.digest(np.where(ok, a, p), np.where(ok, b, p)) ^ np.uint64(mark)
+        out.append((digit, ok, np.maximum(first, low), np.minimum(last, high)))
+    return out
+
+
+def _windows(part: Part, anchors: np.ndarray, gone: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Starts of the windows over these anchors whose side more than one document has, and that do not lie in a context that goes anyway."""
     n = len(part.data)
     mark = np.zeros(n + 1, np.int32)
-    np.add.at(mark, part.begin[anchors], 1)
-    np.add.at(mark, part.ends[anchors] - DEPTH + 1, -1)
+    for digit, ok, first, last in _sides(part, anchors):
+        some = ok & (first <= last)
+        some[some] = _find(known, digit[some])[0]
+        np.add.at(mark, first[some], 1)
+        np.add.at(mark, last[some] + 1, -1)
     for_sure = np.zeros(n + 1, np.int32)
     np.add.at(for_sure, part.begin[gone], 1)
     np.add.at(for_sure, part.ends[gone] - DEPTH + 1, -1)
@@ -129,7 +148,7 @@ def _windows(part: Part, anchors: np.ndarray, gone: np.ndarray) -> np.ndarray:
 
 _FIRST = np.dtype([("key", "<u8"), ("many", "?")])
 _SECOND = np.dtype([("key", "<u8"), ("doc", "<i8"), ("context", "<u8"), ("mixed", "?")])
-_THIRD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("many", "?")])
+_LAST = np.dtype([("key", "<u8"), ("doc", "<i8"), ("many", "?")])
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -210,7 +229,8 @@ class _Job:
 
         sent = self.rows.mapInArrow(send, "bucket int, part int, data binary").repartition(n, "bucket").sortWithinPartitions("bucket", "part")
         back = sent.mapInArrow(meet, "part int, data binary").repartition(n, "part").sortWithinPartitions("part")
-        back.mapInArrow(store, "n long").agg(F.sum("n")).collect()
+        with shuffles_freed(back.sparkSession):
+            back.mapInArrow(store, "n long").agg(F.sum("n")).collect()
 
 
 def _groups(every: np.ndarray, *more: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,15 +252,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     laid.write.option("compression", "zstd").parquet(f"{folder}/documents")
     job = _Job(spark.read.schema("part int, i long, t string").parquet(f"{folder}/documents"), folder, tasks(spark))
 
-    def first(part: int, run: Iterator[Part]) -> np.ndarray:
-        found = [(p.keys, p.ids[p.owner]) for p in run]
-        keys, ids = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    def held(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of (keys, ids): each key, and whether more than one id has it."""
+        keys, ids = (np.concatenate([f[k] for f in found]) if found else np.empty(0, kind) for k, kind in ((0, np.uint64), (1, np.int64)))
         order, begin = _firsts(keys, ids)
         out = np.empty(len(begin), _FIRST)
         last = np.append(begin[1:], len(order)) - 1
         out["key"], out["many"] = keys[order[begin]], ids[order[begin]] != ids[order[last]] if len(begin) else False
         return out
 
+    def first(part: int, run: Iterator[Part]) -> np.ndarray:
+        return held([(p.keys, p.ids[p.owner]) for p in run])
+
     def known(every: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order, begin, group = _groups(every)
         size = np.diff(np.append(begin, len(order)))
@@ -274,14 +297,23 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def third(part: int, run: Iterator[Part]) -> np.ndarray:
         answer, found = _answer(folder, 2, part, _SECOND), []
+        for p in run:
+            r = Resolved(p, answer)
+            found += [(digit[ok], p.doc(r.open[ok])) for digit, ok, _, _ in _sides(p, r.open)]
+        return held(found)
+
+    job.ask(3, third, known, _FIRST, _FIRST)
+
+    def last(part: int, run: Iterator[Part]) -> np.ndarray:
+        answer, sides, found = _answer(folder, 2, part, _SECOND), _answer(folder, 3, part, _FIRST)["key"], []
         for p in run:
             r = Resolved(p, answer)
             if len(r.open):
-                starts = _windows(p, r.open, r.gone)
-                x = np.empty(len(starts), _THIRD)
+                starts = _windows(p, r.open, r.gone, sides)
+                x = np.empty(len(starts), _LAST)
                 x["key"], x["doc"], x["many"] = p.digest(starts, starts + DEPTH), p.ids[np.searchsorted(p.at, starts, "right") - 1], False
                 found.append(x)
-        return least(np.concatenate(found)) if found else np.empty(0, _THIRD)
+        return least(np.concatenate(found)) if found else np.empty(0, _LAST)
 
     def least(x: np.ndarray) -> np.ndarray:
         order, begin, group = _groups(x, "doc")
@@ -297,13 +329,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         use = out["many"][group]
         return order[use], out[group[use]]
 
-    job.ask(3, third, repeated, _THIRD, _THIRD)
+    job.ask(4, last, repeated, _LAST, _LAST)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts]
     types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * texts
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, run in _parts(batches):
-            answer, windows = _answer(folder, 2, part, _SECOND), _answer(folder, 3, part, _THIRD)
+            answer, sides, windows = _answer(folder, 2, part, _SECOND), _answer(folder, 3, part, _FIRST)["key"], _answer(folder, 4, part, _LAST)
             for p in run:
                 r = Resolved(p, answer)
                 n = len(p.data)
@@ -311,7 +343,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 np.add.at(mark, p.begin[r.gone], 1)
                 np.add.at(mark, p.ends[r.gone], -1)
                 if len(r.open):
-                    starts = _windows(p, r.open, r.gone)
+                    starts = _windows(p, r.open, r.gone, sides)
                     has, at = _find(windows["key"], p.digest(starts, starts + DEPTH))
                     has[has] = windows["doc"][at[has]] < p.ids[np.searchsorted(p.at, starts[has], "right") - 1]
                     np.add.at(mark, starts[has], 1)
