@@ -1,9 +1,7 @@
 import random
 from collections import defaultdict
 
-import numpy as np
-
-from weft.llm.near_dedup import Similar, components, edits, kmers, near_classes, order_minhash
+from weft.llm.near_dedup import Similar, buckets, components, edits, keep_one, kmers, masks, near_classes, order_minhash
 from weft.llm.words import words_of
 
 
@@ -19,12 +17,12 @@ def distance(a, b):
 
 def test_edits():
     r = random.Random(1)
-    for _ in range(1500):
-        a = [r.randrange(3) for _ in range(r.randint(0, 12))]
-        b = [x for x in a if r.random() < 0.8] + [r.randrange(3) for _ in range(r.randint(0, 4))] if r.random() < 0.7 else [r.randrange(3) for _ in range(r.randint(0, 12))]
+    for _ in range(3000):
+        a = [r.choice("abc") for _ in range(r.randint(0, 12))]
+        b = [x for x in a if r.random() < 0.8] + [r.choice("abc") for _ in range(r.randint(0, 4))] if r.random() < 0.7 else [r.choice("abc") for _ in range(r.randint(0, 12))]
         d = distance(a, b)
-        for most in (0, 1, 3, 20):
-            assert edits(np.array(a, int), np.array(b, int), most) == (d if d <= most else None), (a, b, most)
+        for most in (0, 1, 2, 3, 5, 20):
+            assert edits(masks(a), len(a), b, most) == (d if d <= most else None), (a, b, most)
 
 
 def test_order_counts():
@@ -69,10 +67,11 @@ def test_classes_against_brute_force(spark):
         return x
 
     test = Similar(0.8)
-    seq = [test.sequence(t or "") for _, t in docs]
+    seq = [words_of(t) for _, t in docs]
     for a in range(len(docs)):
+        test.hold(seq[a])
         for b in range(a):
-            if (docs[a][1] or "") == (docs[b][1] or "") or len(seq[a]) and len(seq[b]) and test(seq[a], seq[b]):
+            if (docs[a][1] or "") == (docs[b][1] or "") or seq[a] and seq[b] and test(seq[b]):
                 up[top(a)] = top(b)
     groups = defaultdict(list)
     for k in range(len(docs)):
@@ -87,6 +86,26 @@ def test_long_chain(spark):
     assert got == {bytes([k]): bytes([0]) for k in range(41)} | {bytes([90]): bytes([90]), bytes([100]): bytes([90])}
 
 
+def test_buckets():
+    w = [f"w{k}" for k in range(300)]
+    x, rows = buckets([" ".join(w), "", " ".join([*w[:100], "new", *w[100:]]), " ".join(f"v{k}" for k in range(300))])
+    assert rows.tolist() == [0, 2, 3] and x.shape == (3, 64)
+    assert 0 < (x[0] == x[1])[32:].sum() <= (x[0] == x[1])[:32].sum() and not (x[0] == x[2]).any()
+
+
+def test_one_of_each_class_stays(spark, odd, none):
+    r = random.Random(4)
+    texts = variants(r, 12)
+    rows = [(k + 1, t, "x") for k, t in enumerate(texts)] + [(0, texts[4], "y"), (0, texts[4], "y"), (None, texts[5], "z"), (None, "alone and here", "z"), (None, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    first = {(g.class_id, g.class_size) for g in near_classes(docs).collect()}
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted((g.doc_id for g in got), key=str) == sorted((c for c, _ in first if c is not None), key=str) + [None, None]
+    assert {(g.doc_id, g.text, g.key) for g in got} <= set(rows) and keep_one(none).count() == 0 and keep_one(odd).columns == odd.columns
+
+
 def test_odd_rows(odd, none):
     got = {(r.doc_id, r.class_id, r.class_size) for r in near_classes(odd).collect()}
     assert {(7, 7, 2), (3, 3, 3), (4, 3, 3), (None, 3, 3), (1, 1, 3), (2, 1, 3), (None, 1, 3)} < got

@@ -2,31 +2,32 @@
 
 A text is its sequence of words. Its k-mers are the runs of five words, labelled with their number of occurrence. Each of
 ``sketches`` random orders picks the ``2`` smallest labelled k-mers; their hash *in the order of the text* is a sketch, so
-texts with the same k-mers in another order seldom share one. Two texts that share a sketch are compared by the exact
-number of word edits within a diagonal band; they are linked if the similarity, 1 - edits / words of the longer, is at
-least ``share``. Classes are the connected components of the links.
-
-Identical texts are one text from the start. In each bucket (texts with the same sketch) the first round compares all
-with one leader. Buckets whose texts are in more than one class then go on: the first 7, the next 56, the next 448, .. texts lead, against the
-texts of other classes only, until each text of such a bucket has led. So pairs are compared only across classes that
-are not joined yet, and no link between classes is lost that the sketches found.
+texts with the same k-mers in another order seldom share one. ``depth`` neighbouring sketches make a band. Two texts are
+compared by the exact number of word edits within a diagonal band of the alignment; they are linked if the similarity,
+1 - edits / words of the longer, is at least ``share``. Classes are the connected components of the links.
+
+Identical texts are one text from the start. In each bucket, texts with the same sketch or band, the first round compares
+all with one leader: the text that meets most others in all its buckets, since the original of a group of copies meets
+more than each copy. So a passage that a third of all texts share costs a comparison for each of them, not for each pair.
+Buckets of bands whose texts are in more than one class then go on: the first 63, the next 4032, .. texts lead, against
+the texts of other classes only, until each text of such a bucket has led. So every two texts that share a band
+end in one class or have been compared.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import keep, table, text_of
+from weft.llm.common import keep, only, table, text_of
 from weft.llm.words import mix, series, shingle_hashes, slices, word_hashes, words_of
 
-SHARE, SKETCHES = 0.8, 32
+SHARE, SKETCHES, DEPTH = 0.8, 32, 4
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -74,87 +75,111 @@ def order_minhash(texts: list[str], n: int = SKETCHES) -> tuple[np.ndarray, np.n
     return out, rows
 
 
-def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+def masks(words: list[str]) -> dict[str, int]:
+    """For each word the places where it stands, as bits."""
+    out: dict[str, int] = {}
+    for k, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << k
+    return out
+
+
+def edits(a: dict[str, int], n: int, b: list[str], most: int) -> int | None:
     """The number of insertions, deletions and replacements between two sequences, if it is ``most`` or less.
 
-    Furthest-reaching alignments on the diagonals -most..most; a diagonal's mismatches are found once, when it is first used.
+    ``a`` has the masks of a sequence of n words. Alignment within the band of 2 * most + 1 diagonals, a column at a time:
+    the differences between neighbouring cells of a column are the bits of two integers (Myers; Hyyrö for the band).
+    Bit t of column j belongs to row j - most + t, so the bit of the last cell's diagonal stays the same; the count on
+    that diagonal never falls, so it ends the search as soon as it is too large.
     """
-    n, m = len(a), len(b)
+    m = len(b)
     if abs(n - m) > most:
         return None
-    gaps: dict[int, list[int]] = {}
-
-    def slide(i: int, k: int) -> int:
-        if k not in gaps:
-            lo, hi = max(0, -k), min(n, m - k)
-            gaps[k] = [*(np.flatnonzero(a[lo:hi] != b[lo + k : hi + k]) + lo).tolist(), hi]
-        own = gaps[k]
-        return own[bisect_left(own, i)]
-
-    far = {0: slide(0, 0)}
-    for e in range(most + 1):
-        if e:
-            new = {}
-            for k in range(max(-e, -n), min(e, m) + 1):
-                i = max(far.get(k, -2) + 1, far.get(k - 1, -2), far.get(k + 1, -2) + 1)
-                i = min(i, n, m - k)
-                if i >= max(0, -k):
-                    new[k] = slide(i, k)
-            far = new
-        if far.get(m - n) == n:
-            return e
-    return None
+    width = 2 * most + 1
+    full = (1 << width) - 1
+    end = 1 << (n - m + most)
+    up, down, count = full >> most << most, 0, max(0, n - m)  # column 0: each row from 1 on is one more than the row before
+    get = a.get
+    for j, w in enumerate(b, 1):
+        same = get(w, 0)
+        if same:
+            shift = j - most - 1
+            same = (same >> shift if shift > 0 else same << -shift) & full
+        level = (((same & up) + up) ^ up) | same | down
+        if not level & end:
+            count += 1
+            if count > most:
+                return None
+        more = (down | ~(level | up)) & full
+        less = level & up
+        level = (level & full) >> 1
+        up = (less | ~(level | more)) & full
+        down = level & more
+    return count
 
 
 class Similar:
+    """Is the edit similarity of texts with the held one at least ``share``? Texts are lists of words."""
+
     def __init__(self, share: float):
-        self.share, self.ids = share, {}
+        self.share = share
 
-    def sequence(self, text: str) -> np.ndarray:
-        ids = self.ids
-        return np.array([ids.setdefault(w, len(ids)) for w in words_of(text)], np.int64)
+    def hold(self, words: list[str]) -> None:
+        self.words, self.masks, self.counts = words, masks(words), Counter(words)
 
-    def __call__(self, one: np.ndarray, two: np.ndarray) -> bool:
-        longer = max(len(one), len(two))
+    def __call__(self, words: list[str]) -> bool:
+        longer = max(len(self.words), len(words))
         most = int((1 - self.share) * longer + 1e-9)
-        if abs(len(one) - len(two)) > most:
+        if abs(len(self.words) - len(words)) > most:
             return False
+        if self.words == words:
+            return True
         if longer > 64:  # words that the other lacks cost an edit each
-            x, y = Counter(one.tolist()), Counter(two.tolist())
-            if max((x - y).total(), (y - x).total()) > most:
+            other = Counter(words)
+            if max((self.counts - other).total(), (other - self.counts).total()) > most:
                 return False
-        return edits(one, two, most) is not None
+        return edits(self.masks, len(self.words), words, most) is not None
+
 
+def buckets(texts: list[str], sketches: int = SKETCHES, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(sketches, then as many bands, a row for each text that has words; which texts these are)."""
+    found, rows = order_minhash(texts, sketches)
+    bands = found
+    for k in range(1, depth):
+        bands = mix(bands * np.uint64(3) + np.roll(found, -k, axis=1))
+    return np.hstack([found, mix(bands + np.uint64(depth))]), rows
 
-def _sketched(rows: DataFrame, sketches: int) -> DataFrame:
-    """(key, words, sketches) of rows (key, text)."""
+
+def _bucketed(rows: DataFrame, sketches: int) -> DataFrame:
+    """(key, words, buckets) of rows (key, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             for s in slices(list(map(len, texts)), 1 << 20):
                 some = texts[s.start : s.stop]
-                found, which = order_minhash(some, sketches)
-                of = dict(zip(which.tolist(), found.view(np.int64).tolist(), strict=True))
+                found, which = buckets(some, sketches)
                 counts = np.diff(word_hashes(some)[1])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, len(s)), pa.array(counts, pa.int64()), pa.array([of.get(k, []) for k in range(len(s))], pa.list_(pa.int64()))], ["key", "words", "sketches"])
+                sizes = np.zeros(len(some) + 1, np.int32)
+                sizes[which + 1] = 2 * sketches
+                lists = pa.ListArray.from_arrays(np.cumsum(sizes, dtype=np.int32), pa.array(found.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, len(s)), pa.array(counts, pa.int64()), lists], ["key", "words", "buckets"])
 
-    return rows.mapInArrow(work, "key binary, words long, sketches array<long>")
+    return rows.mapInArrow(work, "key binary, words long, buckets array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
     """Of pairs (a, b) those that are similar."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test, held = Similar(share), (None, None)
+        test, held = Similar(share), None
         for b in batches:
             good = []
-            for a, _, ta, tb in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if len(test.ids) > 2_000_000:
-                    test, held = Similar(share), (None, None)
-                if held[0] != a:
-                    held = (a, test.sequence(ta))
-                good.append(test(held[1], test.sequence(tb)))
+            for at in range(0, b.num_rows, 200):
+                for a, _, ta, tb in zip(*(c.to_pylist() for c in b.slice(at, 200).columns), strict=True):
+                    if held != a:
+                        held = a
+                        test.hold(words_of(ta))
+                    good.append(test(words_of(tb)))
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
     both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
@@ -162,79 +187,113 @@ def _verified(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(key, class) of all keys in links (a, b); the class is the smallest key that can be reached."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = keep(both, f"{name}-links")
-    now = keep(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("a"), F.min("b")).alias("class")), f"{name}-0")
-    step = 0
-    while True:
-        step += 1
-        seen = both.join(now.select(F.col("key").alias("b"), F.col("class").alias("c")), "b").select(F.col("a").alias("key"), "c")
-        jump = now.select("key", F.col("class").alias("via")).join(now.select(F.col("key").alias("via"), F.col("class").alias("c")), "via").select("key", "c")
-        best = seen.unionByName(jump).groupBy("key").agg(F.min("c").alias("c"))
-        new = keep(now.join(best, "key").select("key", F.least("class", "c").alias("class"), (F.col("c") < F.col("class")).alias("moved")), f"{name}-{step}")
-        moved = not new.where("moved").isEmpty()
-        now = new.drop("moved")
-        if not moved:
-            return now
+    """(key, class) of all keys in links (a, b); the class is the smallest key that can be reached.
+
+    Each level joins every key to the first of its neighbours by a hash, itself included, and goes on with the links
+    between different firsts: whatever the order of the keys, a level leaves a fraction of them.
+    """
+    ends = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    edges, levels = keep(ends(links), f"{name}-links"), []
+    while not levels or not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("k"))
+        first = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("key"), F.least("m", rank("a"))["k"].alias("class"))
+        first = keep(first, f"{name}-level-{len(levels)}")
+        levels.append(first)
+        of = lambda end: first.select(F.col("key").alias(end), F.col("class").alias(f"{end}_first"))  # noqa: B023, E731
+        edges = keep(ends(edges.join(of("a"), "a").join(of("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))), f"{name}-links-{len(levels)}")
+    now = levels.pop()
+    while levels:
+        now = levels.pop().join(now.select(F.col("key").alias("class"), F.col("class").alias("to")), "class", "left").select("key", F.coalesce("to", "class").alias("class"))
+    now = keep(now, f"{name}-firsts")
+    least = now.groupBy("class").agg(F.min("key").alias("least"))
+    return keep(now.join(least, "class").select("key", F.col("least").alias("class")), name)
+
+
+def _merged(classes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """The classes after more links: only the classes that these touch are looked at."""
+    of = lambda end: classes.select(F.col("key").alias(end), F.col("class").alias(f"{end}_class"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b"))
+    moved = components(ends, f"{name}-moved")
+    old = classes.join(moved.select(F.col("key").alias("class"), F.col("class").alias("to")), "class", "left").select("key", F.coalesce("to", "class").alias("class"))
+    return keep(old.unionByName(moved.join(classes, "key", "left_anti")), name)
 
 
 def _key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, sketches: int = SKETCHES) -> DataFrame:
-    """One row per input row: the id, ``class_id`` (smallest id of the class), ``class_size`` (rows) and ``n_links`` (verified
-    comparisons of its text with other texts).
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")).withColumn("key", _key(F.col("text")))
 
-    Null text: empty. Texts without words are in a class only with texts identical to them; texts of 1 to 4 words are
-    compared as one k-mer. Null ids are larger than any other, so a class of null ids only has a null ``class_id``. Rows
-    that repeat count each. Other columns are ignored. An empty table gives an empty result.
+
+def _texts(rows: DataFrame, share: float, sketches: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (_id, text, key): (key, low, copies and class of each text; the links found).
+
+    The first text of a pair is the one that meets more others. So a pair that shares many bands is made once, in the
+    first of them, when that text leads.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")).withColumn("key", _key(F.col("text")))
     texts = rows.groupBy("key").agg(F.first("text").alias("text"))
-    known = keep(_sketched(texts.select("key", "text"), sketches), "op4-sketches")
-    entries = known.select("key", "words", F.posexplode("sketches").alias("nth", "sketch"))
-    full = entries.groupBy("nth", "sketch").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a")).where("n > 1")
-    members = keep(entries.join(full, ["nth", "sketch"]).select("nth", "sketch", "key", "words", "a"), "op4-members")
+    known = keep(_bucketed(texts.select("key", "text"), sketches), "op4-buckets")
+    entries = known.select("key", F.posexplode("buckets").alias("nth", "bucket"))
+    full = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = keep(entries.join(full, "bucket").select("key", "bucket", (F.col("nth") >= sketches).alias("band"), "n"), "op4-members")
+    info = keep(members.groupBy("key").agg(F.sum("n").alias("meets")).join(known, "key"), "op4-info")
+    members = keep(members.join(info.select("key", "words", "meets"), "key"), "op4-known")
     near = lambda x, y: F.abs(F.col(x) - F.col(y)) <= (1 - share) * F.greatest(x, y) + 1e-9
-    lead = members.where("key = a").select("nth", "sketch", F.col("words").alias("w"))
-    pairs = keep(members.where("key > a").join(lead, ["nth", "sketch"]).where(near("words", "w")).select("a", F.col("key").alias("b")).distinct(), "op4-pairs-0")
-    needed = members.select("key").distinct()
-    texts = keep(texts.join(needed, "key", "left_semi"), "op4-texts")
+    lead = members.groupBy("bucket").agg(F.max(F.struct("meets", "key", "words")).alias("m")).select("bucket", F.col("m.key").alias("a"), F.col("m.words").alias("w"))
+    pairs = keep(members.join(lead, "bucket").where((F.col("key") != F.col("a")) & near("words", "w")).select("a", F.col("key").alias("b")).distinct(), "op4-pairs-0")
+    texts = keep(texts.join(info.select("key"), "key", "left_semi"), "op4-texts")
     links = keep(_verified(pairs, texts, share), "op4-links-0")
-    tried, step, low, classes = pairs, 0, 1, components(links, "op4-classes-0")
+    step, low, classes = 0, 1, components(links, "op4-classes-0")
+    members = members.where("band").select("key", "bucket", "words", "meets", "n")
     while True:
-        of = members.select("nth", "sketch", "key", "words").join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
-        mixed = of.groupBy("nth", "sketch").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("n")).where(f"x < y and n >= {low}").select("nth", "sketch")
-        if mixed.isEmpty():
+        of = members.where(f"n >= {low}").join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
+        mixed = of.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("bucket")
+        ranked = keep(of.join(mixed, "bucket", "left_semi").join(info.select("key", F.slice("buckets", sketches + 1, sketches).alias("bands")), "key"), f"op4-mixed-{step}")
+        if ranked.isEmpty():
             break
-        ranked = keep(of.join(mixed, ["nth", "sketch"]), f"op4-mixed-{step}")
-        order = F.xxhash64("key", "nth")
-        lead = ranked.withColumn("r", F.row_number().over(_bucket().orderBy(order, "key"))).where(f"r >= {low} and r < {8 * low}")
-        lead = lead.select("nth", "sketch", F.col("key").alias("a"), F.col("words").alias("w"), F.col("class").alias("c"))
-        more = lead.join(ranked, ["nth", "sketch"]).where((F.col("c") != F.col("class")) & near("words", "w"))
-        more = more.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
-        step, low = step + 1, 8 * low
-        more = keep(more.join(tried, ["a", "b"], "left_anti"), f"op4-pairs-{step}")
-        new = keep(_verified(more, texts, share), f"op4-links-{step}")
-        tried = tried.unionByName(more)
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("meets"), F.desc("key")))
+        lead = ranked.withColumn("r", place).where(f"r >= {max(low, 2)} and r < {64 * low}").select("bucket", *(F.col(c).alias(f"l_{c}") for c in ("key", "words", "class", "meets", "bands")))
+        shared = F.array_compact(F.zip_with("l_bands", "bands", lambda x, y: F.when(x == y, x)))
+        below = F.struct("meets", "key") < F.struct(F.col("l_meets").alias("meets"), F.col("l_key").alias("key"))
+        more = lead.join(ranked, "bucket").where((F.col("l_class") != F.col("class")) & below & near("words", "l_words") & (F.get(shared, F.lit(0)) == F.col("bucket")))
+        more = more.select(F.col("l_key").alias("a"), F.col("key").alias("b"))
+        step, low = step + 1, 64 * low
+        new = keep(_verified(keep(more.join(pairs, ["a", "b"], "left_anti"), f"op4-pairs-{step}"), texts, share), f"op4-links-{step}")
         if not new.isEmpty():
             links = links.unionByName(new)
-            classes = components(links, f"op4-classes-{step}")
-    ends = links.select(F.col("a").alias("key")).unionAll(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+            classes = _merged(classes, new, f"op4-classes-{step}")
     sums = rows.groupBy("key").agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     of = sums.join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
-    of = keep(of, "op4-texts-classes")
+    return keep(of, "op4-texts-classes"), links
+
+
+def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, sketches: int = SKETCHES) -> DataFrame:
+    """One row per input row: the id, ``class_id`` (smallest id of the class), ``class_size`` (rows) and ``n_links`` (verified
+    comparisons of its text with other texts).
+
+    Null text: empty. Texts without words are in a class only with texts identical to them; texts of 1 to 4 words are
+    compared as one k-mer. Null ids are larger than any other, so a class of null ids only has a null ``class_id``. Rows
+    that repeat count each. Other columns are ignored. An empty table gives an empty result.
+    """
+    rows = _rows(docs, id_col, text_col)
+    of, links = _texts(rows, share, sketches)
+    ends = links.select(F.col("a").alias("key")).unionAll(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     sizes = of.groupBy("class").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size"))
     final = keep(of.select("key", "class").join(sizes, "class").join(ends, "key", "left").select("key", "class_id", "class_size", F.coalesce("n", F.lit(0)).alias("n_links")), "op4-final")
     return rows.select("_id", "key").join(final, "key").select(F.col("_id").alias(id_col), "class_id", "class_size", "n_links")
 
 
-def _bucket():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("nth", "sketch")
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, sketches: int = SKETCHES) -> DataFrame:
+    """Of each class the row with the smallest id (nulls last; of equal ids that with the smallest digest), with its own
+    columns. Rows that repeat both id and text become one."""
+    names = docs.columns
+    docs = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    i, t = (f"c{names.index(c)}" for c in (id_col, text_col))
+    of, _ = _texts(_rows(docs, i, t), share, sketches)
+    first = of.groupBy("class").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "key")).alias("m"))
+    return only(docs, _key(text_of(t)), i, first.select(F.col("m.low").alias("i"), F.col("m.key").alias("key"))).toDF(*names)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
