@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm.exact_dedup import LOWER, UPPER, exact_dedup, sha256
+from weft.llm.exact_dedup import LOWER, UPPER, exact_dedup, keep_last, sha256
 
 FOLD = str.maketrans(UPPER, LOWER)
 
@@ -34,3 +34,11 @@ def test_empty(none):
 def test_no_python(spark, odd):
     plan = exact_dedup(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_last_of_each_group_stays(odd, none):
+    kept = keep_last(odd)
+    assert kept.columns == odd.columns and keep_last(none).count() == 0
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    want = {(best, (t or "").translate(FOLD)) for (_, t), (_, best, *_) in zip(rows, brute(rows), strict=True)}
+    assert sorted(((r.doc_id, (r.text or "").translate(FOLD)) for r in kept.collect()), key=str) == sorted(want, key=str)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import keep, table, text_of
+from weft.llm.common import keep, only, table, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,6 +63,16 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def keep_last(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """Of each group of equal texts the row with the largest id, with its own columns; rows that repeat both id and text
+    become one, rows of a text that only null ids have too."""
+    names = docs.columns
+    docs = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    i, t = (f"c{names.index(c)}" for c in (id_col, text_col))
+    best = exact_dedup(docs, id_col=i, text_col=t, **how).where("kept").select(F.col(i).alias("i"), F.unhex("text_sha256").alias("key"))
+    return only(docs, sha256(F.translate(text_of(t), UPPER, LOWER)), i, best).toDF(*names)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
