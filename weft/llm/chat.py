@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import keep, table, tasks
-from weft.llm.template import Template, joined, unescape
+from weft.llm.template import CONTROLS, Template, joined, unescape
 
 TEMPLATE = (
     "{% for message in messages %}<|turn|>{{ message.role | escape }}<|text|>"
@@ -106,3 +106,20 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     return read_chats(keep(format_chats(turns.unionByName(probe)), "op7-chats"))
+
+
+def _marks(column: str) -> str:
+    """How many backslashes the escape adds to a text."""
+    return " + ".join(f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in (*CONTROLS, "\\"))
+
+
+OP7_SQL = f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -1, 0, 'user', '{PROBE}' union all select -1, 1, 'assistant', '{PROBE}')
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(cast(sum(length(text)) filter (role = 'assistant') as bigint), 0) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum({len("<|turn|><|text|><|end|>") + 1} + length(role) + length(text) + {_marks("role")} + {_marks("text")}) as bigint) as formatted_chars
+from t group by conv_id
+"""

@@ -16,4 +16,10 @@ QUERIES = {
     "op9_repeat_removal": repeats.op9_repeat_removal,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-SQL = {"op2_decontamination": decontamination.OP2_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+SQL = {
+    "op1_secret_scan": secrets.OP1_SQL,
+    "op2_decontamination": decontamination.OP2_SQL,
+    "op3_warc_revisits": warc.OP3_SQL,
+    "op7_chat_format": chat.OP7_SQL,
+    "op8_exact_dedup": exact_dedup.OP8_SQL,
+}

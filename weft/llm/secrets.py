@@ -94,3 +94,27 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def _needed(kind: str, ways: tuple) -> str:
+    has = lambda role: f"exists (select 1 from parts q where q.doc_id = p.doc_id and q.role = '{role}' and abs(q.place - p.place) <= {SCOPE})"
+    return f"kind = '{kind}' and ({' or '.join('(' + ' and '.join(map(has, way)) + ')' for way in ways)})"
+
+
+_KINDS = ", ".join("({}, '{}', '{}', '{}')".format(n, k, role, p.replace("'", "''")) for n, (k, p, _, role) in enumerate((*STRONG, *WEAK)))
+OP1_SQL = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+     k(nth, kind, role, pattern) as (values {_KINDS}),
+     found as (select doc_id, nth, kind, role, pattern, regexp_extract_all(t, pattern) as hits, string_split_regex(t, pattern) as gaps
+               from d cross join k where regexp_matches(t, pattern)),
+     each as (select doc_id, nth, kind, role, pattern, unnest(range(1, len(hits) + 1)) as i, hits, gaps from found),
+     sized as (select doc_id, nth, kind, role, pattern, i, hits[i] as hit, length(gaps[i]) as gap, length(hits[i]) as size from each),
+     placed as (select *, cast(sum(gap) over w + sum(size) over w - size as bigint) as place from sized window w as (partition by doc_id, nth order by i)),
+     parts as (select doc_id, nth, kind, role, place, concat(kind, ':', place, ':', place + size) as span from placed
+               where kind <> 'assign' or length(regexp_extract(hit, pattern, 2)) >= 6),
+     kept as (select * from parts p where nth < {len(STRONG)} or {" or ".join(_needed(k, ways) for k, ways in NEEDS.items())})
+select d.doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+       sha256(coalesce(string_agg(span, ',' order by place, nth) filter (nth < {len(STRONG)}), '')) as base_sha256,
+       coalesce(string_agg(span, ',' order by place, nth), '') as spans, count(*) filter (nth >= {len(STRONG)}) as n_linked
+from d left join kept using (doc_id) group by d.doc_id
+"""

@@ -170,3 +170,13 @@ def with_payloads(records: DataFrame) -> DataFrame:
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(table(spark, sf_dir, "pages"), scratch(spark, "op3-warc"))
     return read_archives(archives).drop("url", "payload")
+
+
+OP3_SQL = f"""
+with p as (select page_id, coalesce(html, '') as h from pages),
+     f as (select page_id, strlen(h) as payload_bytes, sha256(h) as payload_digest, min(page_id) over (partition by h) as first from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= {LEAST} and page_id <> first then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= {LEAST} and page_id <> first then first end as refers_to
+from f
+"""
