@@ -14,17 +14,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids, one row each; without a null id, which nothing can refer to."""
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, exact_dedup.exact_dedup(docs).where("kept").select("doc_id"))
+    return exact_dedup.keep_last(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near_dedup.near_classes(docs).where("doc_id = class_id").select("doc_id"))
+    return near_dedup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
