@@ -19,3 +19,18 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def toy_files(tmp_path_factory):
+    from toy import write_files
+
+    return write_files(tmp_path_factory.mktemp("toy"))
+
+
+@pytest.fixture(scope="session")
+def toy(spark, toy_files):
+    """Kept in memory, so that hundreds of small queries do not read the files anew."""
+    from weft.sources.files import from_files
+
+    return from_files(spark, toy_files).persist()

@@ -51,7 +51,7 @@ def set_config(graph: Graph, name: str, value: str) -> DataFrame:
         on = low in _YES or low.isdigit() and int(low) > 0
         if name == "caching" and on and not graph.options["caching"]:
             held = graph.persist()
-            graph.vertex_arms, graph.edge_arms = held.vertex_arms, held.edge_arms
+            graph.vertex_arms, graph.edge_arms, graph.one_scan = held.vertex_arms, held.edge_arms, held.one_scan
         graph.options[name] = on
     else:
         raise TraversalError(f"unexpected value: {value}")

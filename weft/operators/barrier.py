@@ -28,7 +28,7 @@ def count(s: State, step: Step) -> State:
     keys = s.scope_keys
     same = [keys[c].eqNullSafe(counted[c]) for c in s.scope]
     zero = keys.join(counted, same, "left").select(F.coalesce(counted["cur"], F.lit(0)).cast("long").alias("cur"), *(keys[c] for c in s.scope))
-    return _after(s, zero, "long")
+    return replace(_after(s, zero, "long"), weight=2 * s.weight)
 
 
 def math(s: State, step: Step) -> State:
@@ -107,9 +107,18 @@ def positions(s: State, step: Step) -> State:
         at = F.row_number().over(Window.partitionBy(*s.scope).orderBy(*(sorting(s) or [F.col("cur").asc()])))
         frame = s.frame.withColumn("at", at).where((F.col("at") > start) & (F.lit(True) if n is None else F.col("at") <= start + n)).drop("at")
         return replace(s, frame=frame)
+    if n is None:
+        return _skip(s, start) if start else s
     frame = s.frame.orderBy(*sorting(s)) if s.order else s.frame
-    frame = frame.offset(start) if start else frame
-    return replace(s, frame=frame if n is None else frame.limit(n), unstable=s.unstable or not s.order)
+    return replace(s, frame=(frame.offset(start) if start else frame).limit(n), unstable=s.unstable or not s.order)
+
+
+def _skip(s: State, n: int) -> State:
+    """All rows but the first n: only those n are gathered, where an offset would bring all rows to one task."""
+    s = s.bare()
+    frame = s.frame.persist() if s.unstable else s.frame
+    first = frame.orderBy(*sorting(s)).limit(n) if s.order else frame.limit(n)
+    return replace(s, frame=frame.exceptAll(first), unstable=s.unstable or not s.order, weight=2 * s.weight)
 
 
 def aggregate(s: State, step: Step) -> State:

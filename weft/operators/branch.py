@@ -81,13 +81,16 @@ def branches(s: State, step: Step, run: Run) -> State:
         for t in tests[1:]:
             test = test & t if step.name == "and" else test | t
         return s.keep(~test if step.name == "not" else test)
+    s = s.light()
     names = [n for n, _ in s.history if n in set().union(*(_refers(x.steps) for x in subs))]
     depth = 1 + max((int(c[1:].split("_")[0]) for c in s.scope), default=0)
     scope = {"cur": f"s{depth}_cur"} | {f"h_{n}": f"s{depth}_h_{n}" for n in names}
     keys = s.frame.select("cur", *(f"h_{n}" for n in names)).distinct()
     keys = keys.select("*", *(F.col(c).alias(k) for c, k in scope.items()))
     begin = replace(s, frame=keys, attached=False, history=tuple((n, m) for n, m in s.history if n in names), scope=tuple(scope.values()), scope_keys=keys.select(*scope.values()), order=(), in_filter=True)
-    outcomes: list[DataFrame] = [run(begin, x.steps).frame.select(*scope.values()) for x in subs]
+    ended = [run(begin, x.steps) for x in subs]
+    outcomes: list[DataFrame] = [o.frame.select(*scope.values()) for o in ended]
+    s = replace(s, weight=s.weight + sum(o.weight for o in ended))
     if step.name == "and":
         for o in outcomes:
             s = replace(s, frame=_meet(s.frame, o, scope, "left_semi"))
@@ -116,6 +119,7 @@ def union(s: State, step: Step, run: Run) -> State:
         raise TraversalError(f"expect sub queries for {step.name}")
     s = replace(s.bare(), order=())
     s = replace(s, frame=s.frame.select("cur", *s.carried()))
+    s = s.light()
     outs = [run(s, x.steps) for x in subs]
     numbers = {"int", "long"}
     if len({o.kind if o.kind not in numbers else "long" for o in outs}) > 1:
@@ -133,7 +137,7 @@ def union(s: State, step: Step, run: Run) -> State:
         out = out.unionByName(f)
     kind = outs[0].kind if len({o.kind for o in outs}) == 1 else "long"
     gone = frozenset().union(*(o.forgotten | set(o.remembered) for o in outs)) - {n for n, _ in shared}
-    return replace(s, frame=out, kind=kind, labels=_either([o.labels for o in outs]), history=tuple(shared), forgotten=s.forgotten | gone, unstable=any(o.unstable for o in outs))
+    return replace(s, frame=out, kind=kind, labels=_either([o.labels for o in outs]), history=tuple(shared), forgotten=s.forgotten | gone, unstable=any(o.unstable for o in outs), weight=sum(o.weight for o in outs))
 
 
 def _either(labels: list[frozenset[str] | None]) -> frozenset[str] | None:

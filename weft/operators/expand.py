@@ -25,7 +25,7 @@ def expand(s: State, step: Step) -> State:
     if way == "both":
         one, two = _one(s, "in", label, to_edge), _one(s, "out", label, to_edge)
         labels = None if one.labels is None or two.labels is None else one.labels | two.labels
-        return replace(one, frame=one.frame.unionByName(two.frame), labels=labels)
+        return replace(one, frame=one.frame.unionByName(two.frame), labels=labels, weight=2 * s.weight)
     return _one(s, way, label, to_edge)
 
 

@@ -48,6 +48,8 @@ class State:
     order: tuple[tuple[str, bool], ...] = ()
     in_filter: bool = False
     unstable: bool = False
+    #: How many scans the plan has, about. A filter branch reads its traversers once more.
+    weight: int = 1
 
     @property
     def graph(self) -> Graph:
@@ -84,6 +86,14 @@ class State:
         """Without attributes."""
         return replace(self, frame=self.frame.select("cur", *self.carried()), attached=False)
 
+    def light(self, most: int = 4) -> State:
+        """Itself, or, where the plan has grown, with its traversers kept in memory or on disk: chained filter branches
+        would double the plan each time."""
+        if self.weight <= most:
+            return self
+        bare = self.bare()
+        return replace(bare, frame=bare.frame.persist(), weight=1)
+
     def property(self, key: str) -> Column:
         """A property of the current element; of a vertex, once attached."""
         self.graph.schema.key(key, self.kind == EDGE)

@@ -33,7 +33,7 @@ def _names(spark: SparkSession, path: str) -> dict[int, list[str]]:
 
 def _properties(lines: DataFrame, at: int, keys: dict[int, list[str]]) -> list:
     """A typed column for each key of the list in the given field."""
-    found = F.map_from_entries(F.transform(F.array_distinct(F.regexp_extract_all(F.col("f")[at], F.lit(_PROPERTY), F.lit(0))), lambda x: F.struct(F.split(x, ":", 2)[0].cast("int").alias("k"), F.split(x, ":", 2)[1].alias("v"))))
+    found = F.map_from_entries(F.transform(F.array_distinct(F.regexp_extract_all(F.get("f", F.lit(at)), F.lit(_PROPERTY), F.lit(0))), lambda x: F.struct(F.split(x, ":", 2)[0].cast("int").alias("k"), F.split(x, ":", 2)[1].alias("v"))))
     plain = lambda v, t: F.regexp_replace(v, r"""^["']|["']$""", "") if t in ("string", "char") else v
     return [plain(F.element_at(found, F.lit(number)), CODES[int(kind)]).cast(TYPES[CODES[int(kind)]]).alias(name) for number, (name, kind) in keys.items()]
 
@@ -48,19 +48,21 @@ def from_files(spark: SparkSession, folder: str) -> Graph:
     keys, link_keys = _names(spark, f"{folder}/index/vtx_property_index"), _names(spark, f"{folder}/index/edge_property_index")
     schema = Schema({n: CODES[int(t)] for n, t in keys.values()}, {n: CODES[int(t)] for n, t in link_keys.values()}, tuple(n for n, *_ in labels.values()), tuple(n for n, *_ in links.values()))
     v, e = _lines(spark, f"{folder}/vtx_property"), _lines(spark, f"{folder}/edge_property")
-    number = lambda k: F.trim(F.col("f")[k]).cast("long")
+    number = lambda k: F.trim(F.get("f", F.lit(k))).cast("long")
     v = v.select(number(0).alias("vid"), number(1).alias("label"), *_properties(v, 2, keys))
     e = e.select(number(0).alias("src"), number(1).alias("dst"), number(2).alias("label"), *_properties(e, 3, link_keys))
     vertex_arms = [VertexArm(n, lambda k=k: v.where(F.col("label") == k).drop("label"), tuple(schema.vertex_keys)) for k, (n, *_) in labels.items()]
     edge_arms = [EdgeArm(n, lambda k=k: e.where(F.col("label") == k).drop("label"), tuple(schema.edge_keys)) for k, (n, *_) in links.items()]
-    return Graph(spark, schema, vertex_arms, edge_arms)
+    named = lambda rows, names: rows.withColumn("label", F.create_map(*(F.lit(x) for k, (n, *_) in names.items() for x in (k, n)))[F.col("label")])
+    return Graph(spark, schema, vertex_arms, edge_arms, one_scan=(lambda: named(v, labels), lambda: named(e, links)))
 
 
 def adjacency(spark: SparkSession, folder: str) -> DataFrame:
     """(src, dst) of all edges that the files of vertices name, each from both of its ends."""
-    lines = _lines(spark, f"{folder}/vertices").select(F.split(F.concat_ws(" ", "f"), r"\s+").alias("n")).select(F.transform("n", lambda x: x.cast("long")).alias("n"))
-    n_in = F.col("n")[1].cast("int")
-    ends = lines.select(F.col("n")[0].alias("v"), F.slice("n", 3, n_in).alias("into"), F.slice("n", n_in + 4, F.element_at("n", n_in + 3).cast("int")).alias("out"))
+    lines = _lines(spark, f"{folder}/vertices").select(F.filter(F.split(F.concat_ws(" ", "f"), r"\s+"), lambda x: x != "").alias("n")).select(F.transform("n", lambda x: x.cast("long")).alias("n"))
+    at = lambda k: F.get("n", k)
+    n_in = at(F.lit(1)).cast("int")
+    ends = lines.select(at(F.lit(0)).alias("v"), F.slice("n", 3, n_in).alias("into"), F.slice("n", n_in + 4, at(n_in + 2).cast("int")).alias("out"))
     into = ends.select(F.explode("into").alias("src"), F.col("v").alias("dst"))
     return into.unionByName(ends.select(F.col("v").alias("src"), F.explode("out").alias("dst")))
 
