@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import os
 import posixpath
 import tempfile
 import uuid
@@ -13,7 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers on this machine, or with the same paths, find this package even if it is not installed."""
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if top not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [top, *paths]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
