@@ -241,6 +241,50 @@ CATALOGUE: dict[str, tuple[str, str]] = {
         'g.V().hasLabel("customer").coin(0.0).count()',
         'select 0 as value',
     ),
+    "in_e": (
+        'g.V().hasLabel("part").has("size",50).inE("contains").values("quantity")',
+        'select l_quantity as value from lineitem join part on p_partkey=l_partkey where p_size=50',
+    ),
+    "edge_out_v": (
+        'g.E().hasLabel("in_region").outV().values("name")',
+        'select n_name as value from nation',
+    ),
+    "edge_properties": (
+        'g.E().hasLabel("contains").has("quantity",gt(49.0)).properties("returnflag")',
+        "select concat('{returnflag:',l_returnflag,'}') as value from lineitem where l_quantity>49",
+    ),
+    "edge_group_count": (
+        'g.E().hasLabel("contains").has("quantity",lte(10.0)).values("returnflag").groupCount()',
+        'select l_returnflag as key, count(*) as count from lineitem where l_quantity<=10 group by 1',
+    ),
+    "label_after_expand": (
+        'g.V().hasLabel("nation").in("in_nation").hasLabel("supplier").count()',
+        'select count(*) as value from supplier join nation on s_nationkey=n_nationkey',
+    ),
+    "group_values": (
+        'g.V().hasLabel("customer").group("mktsegment","name")',
+        'select c_mktsegment as key, list(c_name order by c_name) as values from customer group by 1',
+    ),
+    "where_order_of_labels": (
+        'g.V().hasLabel("nation").as("a").out("in_region").in("in_region").as("b").where("b",gt("a")).count()',
+        'select count(*) as value from nation x join nation y on x.n_regionkey=y.n_regionkey where y.n_nationkey>x.n_nationkey',
+    ),
+    "where_nested": (
+        'g.V().hasLabel("customer").where(out("placed").where(outE("contains").has("quantity",gt(49.0)))).count()',
+        'select count(*) as value from customer where exists (select 1 from orders join lineitem on l_orderkey=o_orderkey where o_custkey=c_custkey and l_quantity>49)',
+    ),
+    "where_max": (
+        'g.V().hasLabel("nation").where(in("in_nation").hasLabel("customer").values("acctbal").max().is(gt(9900.0))).values("name")',
+        'select n_name as value from nation where (select max(c_acctbal) from customer where c_nationkey=n_nationkey)>9900',
+    ),
+    "where_distinct_count": (
+        'g.V().hasLabel("customer").where(out("did").values("etype").dedup().count().is(gt(3))).count()',
+        'select count(*) as value from customer where (select count(distinct event_type) from events where user_id=c_custkey)>3',
+    ),
+    "union_dedup": (
+        'g.V().hasLabel("nation").union(out("in_region"),in("in_nation")).dedup().count()',
+        'select (select count(distinct n_regionkey) from nation)+(select count(*) from customer)+(select count(*) from supplier) as value',
+    ),
 }
 
 
