@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from weft.llm.near_dedup import Similar, buckets, components, edits, keep_one, kmers, masks, near_classes, order_minhash
+from weft.llm.near_dedup import Similar, bins, buckets, components, edits, keep_one, kmers, masks, near_classes, order_minhash
 from weft.llm.words import words_of
 
 
@@ -110,3 +110,40 @@ def test_odd_rows(odd, none):
     got = {(r.doc_id, r.class_id, r.class_size) for r in near_classes(odd).collect()}
     assert {(7, 7, 2), (3, 3, 3), (4, 3, 3), (None, 3, 3), (1, 1, 3), (2, 1, 3), (None, 1, 3)} < got
     assert near_classes(none).count() == 0
+
+
+def passage_pairs(r, n):
+    """Texts with one passage in common, and for each a text at a similarity of about 0.85 that has the passage too."""
+    say = lambda k: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(k)]
+    passage, texts = say(50), []
+    for _ in range(n):
+        own = say(r.randint(120, 160))
+        other = list(own)
+        for k in range(2, len(own), 5):  # so no run of five words stays but those of the passage
+            other[k] = say(1)[0]
+        texts += [" ".join([*own[:60], *passage, *own[60:]]), " ".join([*other[:60], *passage, *other[60:]])]
+    return texts
+
+
+def test_every_shared_sketch_is_decided(spark):
+    texts = passage_pairs(random.Random(6), 40)
+    x = buckets(texts)[0]
+    test, up, by_band = Similar(0.8), list(range(len(texts))), 0
+    for a in range(len(texts)):
+        test.hold(words_of(texts[a]))
+        for b in range(a):
+            if (x[a] == x[b])[:32].any() and test(words_of(texts[b])):
+                by_band += (x[a] == x[b])[32:].any()
+                up[a] = up[b]
+    got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    linked = sum(k != c for k, c in enumerate(up))
+    assert linked > 20 and by_band < linked / 2
+    assert got == dict(enumerate(up))
+
+
+def test_bins_never_exceed_edits():
+    r = random.Random(7)
+    for _ in range(200):
+        a, b = ([r.choice("abcdefgh") for _ in range(r.randint(0, 30))] for _ in range(2))
+        x, y = bins([" ".join(a), " ".join(b)]).astype(int)
+        assert x.sum() == len(a) and abs(x - y).sum() + abs(len(a) - len(b)) <= 2 * distance(a, b)
