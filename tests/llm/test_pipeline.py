@@ -84,7 +84,6 @@ def test_decontamination(spark, results):
 
 def test_packing(results):
     tokenizer = Tokenizer.from_file(default_vocabulary())
-    tokenizer.encode_special_tokens = True
     docs, pieces, bins = rows(results["packing"]), defaultdict(list), defaultdict(list)
     for r in results["end"].collect():
         pieces[r.doc_id].append(r)

@@ -96,6 +96,11 @@ def tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def size_of(df: DataFrame) -> int:
+    """Spark's own estimate of the bytes of a plan: for files, their size. Nothing runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a URI; works in executors as in the driver."""
     from pyarrow import fs

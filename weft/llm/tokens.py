@@ -7,7 +7,6 @@ the base of each shard, the prefix sum of the shards' token counts. Readers memo
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
@@ -18,107 +17,219 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import file_system, put_whole, scratch, table, tasks, text_of
+from weft.llm.common import file_system, put_whole, scratch, size_of, table, tasks, text_of
+from weft.llm.words import mix, slices
 
-#: White space that a piece cut before each space or line end would not encode as the whole text does.
-_JOINT_SPACE = re.compile(r"\s\s(?:\s|\Z)|\x00")
 _NO_ID = np.iinfo(np.int64).min
+#: Input of a shard, by Spark's estimate of the table, when there are more shards than shuffle partitions.
+SHARD_BYTES = 256 << 20
+#: Classes of bytes: part of what may be white space, a space or line end, a letter of ASCII or Latin-1, any other character.
+_DOUBT, _SPACE, _LETTER, _SOLID = range(4)
+_KIND = np.full(256, _SOLID, np.uint8)
+_KIND[[*range(33), 127, 0xC2, 0xE1, 0xE2, 0xE3]] = _DOUBT  # Unicode's white space begins with one of the last four bytes
+_KIND[[32, 10]] = _SPACE
+_KIND[[*range(65, 91), *range(97, 123), 0xC3]] = _LETTER
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+_SHORT = 23  # bytes of the longest piece that is held: with its length, three words of 64 bits
+#: One word for the splitter: a space or none, then letters of ASCII and Latin-1 only.
+_PLAIN = r"^ ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+$"
+_JOINT = re.compile(rb"[ \n].*[!-~]", re.S).fullmatch
+
+
+def _letters() -> np.ndarray:
+    """Code points of the letters that stand for the bytes in byte-level vocabularies: printable ones for themselves, the
+    others from 256 on, in order. The zero byte stays, as the mark between words."""
+    shown = np.zeros(256, bool)
+    shown[[*range(33, 127), *range(161, 173), *range(174, 256)]] = True
+    out = np.where(shown, np.arange(256), 256 + np.cumsum(~shown) - 1).astype("<u4")
+    out[0] = 0
+    return out
+
+
+_LETTERS = _letters()
+
+
+def _bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all strings in a row, place of each string and the end)"""
+    if not len(values):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_binary(values.type) or pa.types.is_large_string(values.type) else np.int32
+    _, at, data = values.buffers()
+    at = np.frombuffer(at, kind)[values.offset : values.offset + len(values) + 1].astype(np.int64, copy=False)
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 class Encoder:
-    """Byte-level BPE ids of whole texts, without special tokens, as little-endian unsigned 32-bit bytes.
+    """Byte-level BPE ids of whole texts, exactly those of the tokenizers library, added tokens within texts included.
+
+    Such a tokenizer splits a text into words before it merges; some word ends can be seen in the bytes alone:
+
+    * between a letter and any ASCII character that is none;
+    * before a space or line end after a character that is no white space, whatever follows;
+    * after a line end between two characters that are no white space.
 
-    Such a tokenizer never merges over a space or line end that stands between other characters, so a text is cut
-    there and each distinct piece is encoded once; texts with longer white space are encoded whole.
+    Texts are cut there, a few megabytes at a time. Pieces of up to 23 bytes are looked up by all their bytes in a table of
+    ``1 << bits`` places; of the others Arrow finds the distinct ones, which the library encodes. Plain words skip its
+    splitter, as they are one word each; all other pieces pass through it. A new piece takes the place of that which has
+    the same hash, and the table is emptied when the ids held reach ``most``: memory depends on no count of words.
+    Texts that hold an added token, and all texts if the vocabulary has another splitter, are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 1_600_000):
+    def __init__(self, path: str, bits: int = 20, most: int = 12 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        shape = json.loads(self.tokenizer.to_str())
+        split = shape["pre_tokenizer"] or {}
+        self.cuts = shape["normalizer"] is None and shape["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.added = [t["content"].encode() for t in shape["added_tokens"]]
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\0")
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)  # byte-level vocabularies have a letter for each byte
-        self.known: dict[str, bytes] = {}
-        self.most = most
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _fresh(self, pieces: list[str], run: int = 200) -> dict[str, bytes]:
-        """Pieces that begin with white space and do not end with it are encoded in long runs, which are then cut by
-        the number of bytes that each token stands for."""
-        joint = [p for p in pieces if p[:1] in (" ", "\n") and p[:1] and not p[-1].isspace()]
-        alone = list(set(pieces) - set(joint))
-        found = dict(zip(alone, self._whole(alone), strict=True))
-        runs = [joint[k : k + run] for k in range(0, len(joint), run)]
-        for own, ids in zip(runs, self._whole(["".join(r) for r in runs]), strict=True):
-            ends = np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])
-            cuts = np.cumsum([len(p.encode()) for p in own])
-            at = np.searchsorted(ends, cuts)
-            if (ends[at] != cuts).any():
-                raise ValueError("a token reaches over white space: this vocabulary is not supported")
-            at = [0, *((at + 1) * 4).tolist()]
-            found.update((p, ids[a:b]) for p, a, b in zip(own, at, at[1:]))
-        return found
-
-    def _learn(self, new: set[str]) -> None:
-        """A full stop or comma after a letter is a token of its own at the end of a piece."""
-        known = self.known
-        ends = [w for w in new if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()]
-        base = list((new - set(ends) | {w[:-1] for w in ends} | {".", ","}) - known.keys())
-        known.update(self._fresh(base))
-        known.update((w, known[w[:-1]] + known[w[-1]]) for w in ends)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        gc.disable()  # millions of strings live on and none refers to another: looking through them finds nothing
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        cut = [None if _JOINT_SPACE.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") for t in texts]
-        get, new, gaps = self.known.get, set(), []
-        ids = [[] if pieces is None else list(map(get, pieces)) for pieces in cut]
-        for k, own in enumerate(ids):
-            own.append(None)
-            at = own.index(None)
-            while at < len(own) - 1:
-                gaps.append((k, at))
-                new.add(cut[k][at])
-                at = own.index(None, at + 1)
-            own.pop()
-        if new:
-            self._learn(new)
-            for k, at in gaps:
-                ids[k][at] = self.known[cut[k][at]]
-        return [self._whole([t])[0] if pieces is None else b"".join(own) for t, pieces, own in zip(texts, cut, ids, strict=True)]
-
-
-@lru_cache(2)
+        self.bits, self.most = bits, most
+        self.keys = np.zeros((3, 1 << bits), np.uint64)
+        self.place, self.count = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.uint8)
+        self.pool, self.held = np.empty(most, self.dtype), 0
+
+    def _flat(self, tokenizer, texts: list[str]) -> np.ndarray:
+        return np.concatenate([np.empty(0, self.dtype), *(np.array(e.ids, self.dtype) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+
+    def _apart(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """The ids of each piece, from those of all pieces in a row and the pieces' numbers of bytes."""
+        ends, cuts = np.cumsum(self.sizes[ids]), np.cumsum(sizes)
+        at = np.searchsorted(ends, cuts) + 1
+        if len(sizes) and (at[-1] != len(ids) or (ends[at - 1] != cuts).any()):
+            raise ValueError("the tokens do not add up to the pieces: this vocabulary is not supported")
+        return _binary(ids, np.concatenate([[0], at]) * self.dtype.itemsize)
+
+    def _words(self, words: pa.Array, run: int = 200) -> pa.Array:
+        """Plain words in long runs, as the letters that stand for their bytes."""
+        data, at = _bytes_of(words)
+        letters, at = _LETTERS[np.insert(data, at[1:-1], 0)], at + np.arange(len(at))
+        cuts = [*at[:-1:run].tolist(), len(letters) + 1]
+        runs = [letters[a : b - 1].tobytes().decode("utf-32-le") for a, b in zip(cuts, cuts[1:])]
+        return self._apart(self._flat(self.plain, runs), np.diff(at) - 1)
+
+    def _others(self, pieces: pa.Array, run: int = 100) -> pa.Array:
+        """Pieces that begin with a space or line end and do not end with white space are whole words for the splitter
+        whatever stands beside them, so they pass through it in runs; the rest alone."""
+        raw = pieces.to_pylist()
+        joint = [k for k, p in enumerate(raw) if len(p) < 200 and _JOINT(p)]
+        alone = sorted(set(range(len(raw))).difference(joint))
+        text = lambda some: b"".join(raw[k] for k in some).decode("utf-8", "replace")
+        both = self._apart(self._flat(self.tokenizer, [text(joint[k : k + run]) for k in range(0, len(joint), run)]), np.array([len(raw[k]) for k in joint], np.int64)).to_pylist()
+        found = dict(zip(joint, both, strict=True))
+        found.update((k, self._flat(self.tokenizer, [text([k])]).tobytes()) for k in alone)
+        return pa.array([found[k] for k in range(len(raw))], pa.large_binary())
+
+    def _encoded(self, pieces: pa.Array) -> pa.Array:
+        """The ids of distinct pieces, as bytes."""
+        plain = np.asarray(pc.match_substring_regex(pieces, _PLAIN))
+        words, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        order = np.empty(len(pieces), np.int64)
+        order[np.concatenate([words, others])] = np.arange(len(pieces))
+        return pa.concat_arrays([self._words(pieces.take(pa.array(words))), self._others(pieces.take(pa.array(others)))]).take(pa.array(order))
+
+    def _looked_up(self, data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the pool, number) of the ids of each piece."""
+        if self.held > self.most // 2:
+            self.keys[:], self.held = 0, 0
+        start, size = cut[:-1], np.diff(cut)
+        eight = np.lib.stride_tricks.as_strided(np.append(data, np.zeros(32, np.uint8)).view(np.uint8)[:8].view("<u8"), (len(data) + 24,), (1,))
+        keys = [eight[start] & _MASK[np.minimum(size, 8)], eight[start + 8] & _MASK[np.clip(size - 8, 0, 8)], eight[start + 16] & _MASK[np.clip(size - 16, 0, 7)] | np.minimum(size, _SHORT + 1).astype(np.uint64) << np.uint64(56)]
+        slot = (mix(keys[0] ^ mix(keys[1] ^ keys[2])) >> np.uint64(64 - self.bits)).astype(np.int64)
+        short = size <= _SHORT
+        hit = short.copy()
+        for held, own in zip(self.keys, keys, strict=True):
+            hit &= held[slot] == own
+        place, count = self.place[slot].astype(np.int64), self.count[slot].astype(np.int64)
+        missed = np.flatnonzero(~hit)
+        if len(missed):
+            some = _binary(data, cut).take(pa.array(missed)).dictionary_encode()
+            which = some.indices.to_numpy()
+            ids, at = _bytes_of(self._encoded(some.dictionary))
+            at = at // self.dtype.itemsize
+            while len(self.pool) < self.held + at[-1]:
+                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+            self.pool[self.held : self.held + at[-1]] = np.frombuffer(ids, self.dtype)
+            at += self.held
+            self.held = int(at[-1])
+            place[missed], count[missed] = at[which], np.diff(at)[which]
+            new = missed[short[missed]]
+            to = slot[new]
+            for held, own in zip(self.keys, keys, strict=True):
+                held[to] = own[new]
+            self.place[to], self.count[to] = place[new], count[new]
+        return place, count
+
+    def _cut(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where pieces begin, and the end; ``at`` has the begin of each text and the end."""
+        cut = np.zeros(len(data) + 1, bool)
+        cut[at] = True
+        if not self.cuts:
+            return np.flatnonzero(cut)
+        kind, last = _KIND[data], len(data) - 1
+        high = np.flatnonzero(data >= 0xC2)
+        lead = data[high]
+        for own, long in ((high[lead == 0xC2], 1), (high[(lead >= 0xE1) & (lead <= 0xE3)], 2)):
+            for k in range(1, long + 1):
+                kind[np.minimum(own + k, last)] = _DOUBT
+        latin = high[lead == 0xC3] + 1
+        latin = latin[latin <= last]
+        kind[latin] = np.where(data[latin] & 0xDF == 0x97, _SOLID, _LETTER)  # multiplication and division signs
+        letter, solid, space = kind == _LETTER, kind >= _LETTER, kind == _SPACE
+        new = (letter[:-1] & ~letter[1:] & (data[1:] < 0x80)) | (space[1:] & solid[:-1])
+        line = np.flatnonzero(data[1:-1] == 10)
+        line = line[solid[line] & solid[line + 2] & ~(cut[line + 1] | cut[line + 2])] + 2
+        cut[1:-1] |= new
+        cut[line] = True
+        for token in self.added:
+            if (raw := data.tobytes()).find(token) >= 0:
+                for m in re.finditer(re.escape(token), raw):
+                    text = np.searchsorted(at, m.start(), "right") - 1
+                    cut[at[text] + 1 : at[text + 1]] = False
+        return np.flatnonzero(cut)
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, place of each text's first and the end); after each text the id ``end``."""
+        data, at = _bytes_of(texts)
+        cut = self._cut(data, at)
+        place, count = self._looked_up(data, cut)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = self.pool[np.repeat(place - ends[:-1], count) + np.arange(ends[-1])]
+        places = ends[np.searchsorted(cut, at)]
+        if end is not None:
+            ids, places = np.insert(ids, places[1:], end), places + np.arange(len(places))
+        return ids, places
+
+
+@lru_cache(1)
 def encoder(path: str) -> Encoder:
     """One for each Python worker: what it has learned serves later tasks."""
     return Encoder(path)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, rows: int = 500) -> Iterator[tuple[list, list[bytes]]]:
-    """(ids, token ids of each text), a few hundred rows at a time, from batches of (id, text)."""
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int, most: int = 4 << 20) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(row ids, ids of all texts and ``end`` after each, places of the texts) for a few megabytes at a time, from batches of (id, text)."""
     enc = encoder(path)
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            yield part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())
+        sizes = pc.binary_length(batch.column(1)).to_pylist()
+        for s in slices(sizes, most):
+            yield batch.column(0).slice(s.start, len(s)), *enc.encode(batch.column(1).slice(s.start, len(s)), end)
 
 
 def default_vocabulary() -> str:
@@ -135,30 +246,30 @@ def write_tokens(docs: DataFrame, folder: str, *, vocabulary: str, end_id: int =
     gets three numbers per shard.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("i"), text_of(text_col).alias("t"))
-    rows = rows.repartitionByRange(shards or tasks(docs.sparkSession), "i").sortWithinPartitions("i", "t")
-    end = np.array([end_id], "<u4").tobytes()
+    shards = shards or max(tasks(docs.sparkSession), -(-size_of(docs) // SHARD_BYTES))
+    rows = rows.repartitionByRange(shards, "i").sortWithinPartitions("i", "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        name, width = f"{folder}/part-{shard:06d}", encoder(vocabulary).width
-        ids, sizes = [], [0]
+        name, width = f"{folder}/part-{shard:06d}", encoder(vocabulary).dtype.itemsize
+        ids, sizes = [np.empty(0, "<i8")], [np.zeros(1, np.int64)]
 
         def flow(out) -> None:
-            for some, tokens in encoded(batches, vocabulary):
-                ids.extend(some)
-                whole = [t + end for t in tokens]
-                sizes.extend(len(t) // 4 for t in whole)
-                out.write(np.frombuffer(b"".join(whole), "<u4").astype(f"<u{width}").tobytes())
+            for some, tokens, at in encoded(batches, vocabulary, end_id):
+                ids.append(some.fill_null(_NO_ID).to_numpy().astype("<i8"))
+                sizes.append(np.diff(at))
+                out.write(tokens.astype(f"<u{width}", copy=False).tobytes())
 
         put_whole(f"{name}.bin", flow)
-        put_whole(f"{name}.idx", lambda out: out.write(np.cumsum(sizes, dtype="<i8").tobytes()))
-        put_whole(f"{name}.doc", lambda out: out.write(np.array([_NO_ID if i is None else i for i in ids], "<i8").tobytes()))
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [len(ids)], "tokens": [sum(sizes)]}, pa.schema({"shard": pa.int32(), "docs": pa.int64(), "tokens": pa.int64()}))
+        places = np.cumsum(np.concatenate(sizes), dtype="<i8")
+        put_whole(f"{name}.idx", lambda out: out.write(places.tobytes()))
+        put_whole(f"{name}.doc", lambda out: out.write(np.concatenate(ids).tobytes()))
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [len(places) - 1], "tokens": [int(places[-1])]}, pa.schema({"shard": pa.int32(), "docs": pa.int64(), "tokens": pa.int64()}))
 
     counts = sorted(tuple(r) for r in rows.mapInArrow(write, "shard int, docs long, tokens long").collect() if r.docs)
     bases = [0, *accumulate(n for _, _, n in counts)]
     found = [(shard, base, n) for (shard, _, n), base in zip(counts, bases, strict=False)]
-    width = encoder(vocabulary).width
+    width = encoder(vocabulary).dtype.itemsize
     put_whole(f"{folder}/manifest.json", lambda out: out.write(json.dumps({"width": width, "end_id": end_id, "shards": found}).encode()))
     return found
 
