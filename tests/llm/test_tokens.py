@@ -101,8 +101,8 @@ def test_pack(spark, odd, none, plain, carry):
 
 def test_pack_of_sorted_lengths(spark):
     """Input partitions that hold one length only: 800 or 1200 tokens."""
-    docs = spark.range(600).selectExpr("id as doc_id", "repeat(' the', if(id < 300, 799, 1199)) as text").repartitionByRange(6, "doc_id")
-    got = packing.pack(docs, vocabulary=default_vocabulary(), node_rows=100).collect()
+    docs = spark.range(6000).selectExpr("id as doc_id", "repeat(' the', if(id < 3000, 799, 1199)) as text").repartitionByRange(6, "doc_id")
+    got = packing.pack(docs, vocabulary=default_vocabulary(), node_rows=2000).collect()
     lengths = [g.length for g in got]
-    assert sorted(lengths) == [800] * 300 + [1200] * 300
+    assert sorted(lengths) == [800] * 3000 + [1200] * 3000
     assert len({g.sequence_id for g in got}) <= 1.02 * len(packing.best_fit(lengths, 2048))
