@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 
 from weft.llm.common import table
-from weft.llm.toxicity import Automaton, Lexicon, Trie, allowed, keep_clean, logistic, toxicity, train
+from weft.llm.toxicity import Automaton, Lexicon, Trie, allowed, features, keep_clean, logistic, toxicity, train
 
 SF = "/root/testdata/sf0.01"
 
@@ -81,3 +81,43 @@ def test_misspelled_and_quoted(spark):
     model = train(docs, table(spark, SF, "labels"))
     plain, bad, typo = model.scores(["the and of " * 30, "you idiot and moron " + "the and of " * 30, "you idiiot " + "the and of " * 30])
     assert plain < 0.3 <= bad and plain <= typo
+
+
+def test_quotation_and_each_misspelling(spark):
+    docs = table(spark, SF, "documents")
+    model = train(docs, table(spark, SF, "labels"))
+    fill = "the and of " * 30
+    abuse, *quoted = model.scores([f"you stupid idiot {fill}", f'the note "you stupid idiot over there" was read {fill}', f"«you stupid idiot» {fill}", f"someone wrote you stupid idiot once {fill}"])
+    assert all(q < abuse for q in quoted)
+    plain, *typos = model.scores([fill, *(f"{w} {fill}" for w in ("idiott", "moronn", "patetic", "worthles", "disgustng", "imbecille"))])
+    assert all(plain < t for t in typos)
+
+
+def test_features_against_brute_force():
+    r = random.Random(9)
+    terms, stems = ["idiot", "pathetic", "scum"], {"vequ": 3.0}
+    lexicon = Lexicon(terms, stems)
+
+    def kind(w):
+        if w in terms:
+            return "exact", 1.0
+        if w[:4] in stems:
+            return "stem", 3.0
+        near = [distance(w, t) for t in terms if distance(w, t) <= allowed(t)]
+        return ("near", 1 / (1 + min(near))) if near else None
+
+    pool = ["idiot", "idoit", "idiots", "patetic", "scum", "scums", "vequor", "you", "said", "tree", "sea", "walk"]
+    for _ in range(300):
+        words, quote = [r.choice(pool) for _ in range(r.randint(0, 40))], []
+        inside = sorted(r.sample(range(len(words) + 1), 2)) if len(words) > 2 and r.random() < 0.5 else [0, 0]
+        text = " ".join(('"' if k == inside[0] < inside[1] else "") + w + ('"' if k == inside[1] - 1 and inside[0] < inside[1] else "") for k, w in enumerate(words))
+        lexicon.learn(set(words))
+        found = [(k, *kind(w)) for k, w in enumerate(words) if kind(w)]
+        near = [set(words[max(0, k - 6) : k + 7]) for k, _, _ in found]
+        quote = [inside[0] <= k < inside[1] or "said" in a for (k, _, _), a in zip(found, near)]
+        abuse = sum("you" in a and not q for a, q in zip(near, quote))
+        count = lambda name: sum(n == name for _, n, _ in found)
+        length = np.log1p(len(words)) / 10
+        want = [np.log1p(count("exact")), float(count("exact") > 0), sum(x for _, n, x in found if n == "near"), np.log1p(count("stem")), min(3.0 * count("stem"), 30) / 10,
+                0.6 * (count("stem") > 0), min(10.0, 100 * len(found) / max(1, len(words))), np.log1p(abuse), np.log1p(sum(quote)), length]
+        assert np.allclose(features(text, words, lexicon), want), text

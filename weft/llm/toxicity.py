@@ -2,8 +2,8 @@
 
 The lexicon has given terms, and whole words and stems learned from labelled rows: those that many toxic documents and
 few others have. A misspelled term is found by running the automaton of the text's word along the trie of terms. Each
-find is weighed by its surroundings: second person near it speaks for abuse; quotation marks and words of reporting for
-quotation. A logistic model over these features gives the score.
+find is weighed by its surroundings: matching quotation marks around it, however many words they hold, or words of
+reporting near it speak for quotation, else second person near it for abuse. A logistic model over these features gives the score.
 
 Learning reads ``sample`` labelled rows at most, chosen by a hash of their id; scoring reads every word of every text.
 """
@@ -12,48 +12,74 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import keep, table, text_of
+from weft.llm.words import slices
 
 TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "imbecile", "vermin", "dimwit", "halfwit", "degenerate", "subhuman")
 WORD = re.compile(r"[^\W\d_]+")
 NEAR = 6
 YOU = frozenset("you your yours yourself ur u youre tu te toi ton vous votre du dich dein ihr sie tú vos usted".split())
 SAID = frozenset("said says quote quoted quoting wrote writes called calling term word phrase slur reported alleged".split())
-QUOTES = "\"“”„«»‘’'"
+#: A quotation: matching marks within a line.
+QUOTED = re.compile("|".join([*(f"{a}[^{a}{b}\n]{{1,400}}{b}" for a, b in ('""', "“”", "„“", "„”", "«»", "»«", "‘’")), r"(?<!\w)'[^'\n]{1,400}'(?!\w)"]))
 SAMPLE, CUT = 20_000, 0.3
-_SEEN_MOST = 1_000_000
+_SEEN_MOST = 1 << 18
 
 
 class Automaton:
-    """Levenshtein automaton of a word: states are errors by position, at most ``most``."""
+    """Levenshtein automaton of a word: states are errors by position, at most ``most``.
+
+    A state is (base, ((place after the base, errors), ..)); without any place it is empty. How it goes on depends only
+    on the places after the base, on which of the next letters of the word are the one read, and on whether the word
+    ends among them. So the transitions of all words are one finite table, filled as they are met.
+    """
+
+    _known: dict[tuple, tuple] = {}
 
     def __init__(self, word: str, most: int):
-        self.word, self.most = word, most
-        self.start = tuple((i, i) for i in range(min(most, len(word)) + 1))
+        self.word, self.most, self.size, self.window = word, most, len(word), 2 * most + 1
+        self.start = (0, tuple((i, i) for i in range(min(most, len(word)) + 1)))
+        self.has: dict[str, int] = {}
+        for i, c in enumerate(word):
+            self.has[c] = self.has.get(c, 0) | 1 << i
 
     def step(self, state: tuple, letter: str) -> tuple:
-        word, most, new = self.word, self.most, {}
-        for i, e in state:
+        if not state:
+            return ()
+        base, places = state
+        key = (self.most, places, self.has.get(letter, 0) >> base & (1 << self.window) - 1, min(self.size - base, self.window))
+        if (after := self._known.get(key)) is None:
+            after = self._known[key] = self._after(*key)
+        return (base + after[0], after[1]) if after else ()
+
+    @staticmethod
+    def _after(most: int, places: tuple, same: int, size: int) -> tuple:
+        new: dict[int, int] = {}
+        for i, e in places:
             if e < most:  # the letter is not in the word
                 new[i] = min(new.get(i, e + 1), e + 1)
             for skip in range(most - e + 1):  # letters of the word that are left out
                 j = i + skip
-                if j < len(word):
-                    cost = e + skip + (word[j] != letter)
+                if j < size:
+                    cost = e + skip + (not same >> j & 1)
                     if cost <= most:
                         new[j + 1] = min(new.get(j + 1, cost), cost)
-        return tuple(sorted(new.items()))
+        base = min(new, default=0)
+        return (base, tuple((i - base, e) for i, e in sorted(new.items()))) if new else ()
 
     def errors(self, state: tuple) -> int | None:
-        rest = [e + len(self.word) - i for i, e in state if e + len(self.word) - i <= self.most]
+        base, places = state or (0, ())
+        rest = [e + self.size - base - i for i, e in places if e + self.size - base - i <= self.most]
         return min(rest, default=None)
 
 
@@ -91,15 +117,29 @@ class Lexicon:
         self.terms, self.stems, self.innocent = frozenset(terms), stems, frozenset(innocent) - frozenset(terms)
         self.trie = Trie(self.terms)
         self.lengths = sorted({len(s) for s in stems}, reverse=True)
-        #: A word within 2 edits of a term of 3 parts or more has one of the parts unchanged, moved by 2 at most.
-        self.heads = {t[:h] for t in self.terms for h in [len(t) // (allowed(t) + 1)]}
-        self.tails = {t[-h:] for t in self.terms for h in [len(t) // (allowed(t) + 1)]}
-        self.cores = {t[len(t) // 3 : 2 * (len(t) // 3)] for t in self.terms if allowed(t) == 2}
-        self.sizes = sorted({len(x) for x in self.heads | self.tails})
+        #: Of a term's parts, one more than the errors allowed, a misspelling has one unchanged: the first, the last or,
+        #: moved by 2 at most, the middle one. Each part is held with the lengths of such words.
+        self.heads: dict[str, set[int]] = {}
+        self.tails: dict[str, set[int]] = {}
+        self.cores: dict[str, set[int]] = {}
+        for t in self.terms:
+            n, k = len(t) // (allowed(t) + 1), allowed(t)
+            lengths = range(len(t) - k, len(t) + k + 1)
+            for parts, part in ((self.heads, t[:n]), (self.tails, t[-n:]), *([(self.cores, t[n : 2 * n])] if k == 2 else [])):
+                parts.setdefault(part, set()).update(lengths)
+        self.sizes = sorted({len(x) for x in (*self.heads, *self.tails)})
         self.least, self.most = min(map(len, self.terms), default=0) - 1, max(map(len, self.terms), default=0) + 2
         self.seen: set[str] = set()
         self.bad: dict[str, tuple[str, float]] = {}
 
+    def _maybe(self, word: str) -> bool:
+        """False only for words that are no misspelling of any term."""
+        n = len(word)
+        for k in self.sizes:
+            if n in self.heads.get(word[:k], ()) or n in self.tails.get(word[-k:], ()):
+                return True
+        return any(n in lengths and core in word for core, lengths in self.cores.items())
+
     def kind(self, word: str) -> tuple[str, float] | None:
         """("exact" | "near" | "stem", weight)"""
         if word in self.terms:
@@ -109,7 +149,7 @@ class Lexicon:
                 return "stem", w
         if word in self.innocent or not self.least <= len(word) <= self.most:
             return None
-        if not any(word[:k] in self.heads or word[-k:] in self.tails for k in self.sizes) and not any(c in word for c in self.cores):
+        if not self._maybe(word):
             return None
         found = [e for t, e in self.trie.near(word, 2) if e <= allowed(t)]
         return ("near", 1 / (1 + min(found))) if found else None
@@ -117,12 +157,15 @@ class Lexicon:
     def learn(self, words: set[str]) -> None:
         if len(self.seen) > _SEEN_MOST:
             self.seen.clear()
+            self.bad.clear()
         new = words - self.seen
         self.seen |= new
         self.bad.update((w, k) for w in new if (k := self.kind(w)))
 
 
 FEATURES = 10
+#: Weights that the data have to speak against: finds and abuse raise a score, quotation lowers it.
+PRIOR = (1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.5, 1.0, -1.0, 0.0)
 
 
 def features(text: str, words: list[str], lexicon: Lexicon) -> list[float]:
@@ -132,7 +175,9 @@ def features(text: str, words: list[str], lexicon: Lexicon) -> list[float]:
     if lexicon.bad.keys().isdisjoint(words):
         return out
     exact = near = stem = weight = top = abuse = quoted = hits = 0.0
-    spans = None
+    spans = [m.span() for m in WORD.finditer(text)]
+    marks = [m.span() for m in QUOTED.finditer(text)]
+    opens = [a for a, _ in marks]
     for i, w in enumerate(words):
         if found := lexicon.bad.get(w):
             kind, x = found
@@ -140,15 +185,12 @@ def features(text: str, words: list[str], lexicon: Lexicon) -> list[float]:
             exact, near, stem = exact + (kind == "exact"), near + x * (kind == "near"), stem + (kind == "stem")
             if kind == "stem":
                 weight, top = weight + x, max(top, x)
-                continue
             around = words[max(0, i - NEAR) : i + NEAR + 1]
-            abuse += not YOU.isdisjoint(around)
-            if spans is None:
-                spans = [m.span() for m in WORD.finditer(text)]
-            if len(spans) == n:
-                a, b = spans[i]
-                marks = any(c in QUOTES for c in text[max(0, a - 2) : a]) and any(c in QUOTES for c in text[b : b + 2])
-                quoted += marks or not SAID.isdisjoint(around)
+            k = bisect_right(opens, spans[i][0]) - 1
+            if (k >= 0 and spans[i][1] <= marks[k][1]) or not SAID.isdisjoint(around):
+                quoted += 1
+            elif not YOU.isdisjoint(around):
+                abuse += 1
     return [math.log1p(exact), float(exact > 0), near, math.log1p(stem), min(weight, 30) / 10, top / 5, min(10.0, 100 * hits / n), math.log1p(abuse), math.log1p(quoted), out[9]]
 
 
@@ -159,14 +201,15 @@ def _described(texts: list[str], lexicon: Lexicon) -> np.ndarray:
     return np.array([features(t, w, lexicon) for t, w in zip(lower, words, strict=True)]).reshape(-1, FEATURES)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch], text: int = 0, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices with about ``most`` bytes of text, one row at least."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        for s in slices(pc.binary_length(b.column(text)).fill_null(0).to_pylist(), most):
+            yield b.slice(s.start, len(s))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Newton steps; the last weight is the constant. Without rows of both labels every score is the share of ones."""
+def logistic(x: np.ndarray, y: np.ndarray, prior: Iterable[float] | None = None, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Newton steps; the last weight is the constant. Weights are drawn to ``prior``, or to zero. Without rows of both labels every score is the share of ones."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     if len(y) == 0 or y.min() == y.max():
@@ -174,9 +217,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
         return w
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
+    middle = np.append(np.zeros(len(w) - 1) if prior is None else np.array(tuple(prior), float), 0.0)
+    w = middle.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * (w - middle))
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
@@ -241,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, terms: It
 
     got = rows.mapInArrow(describe, "x array<double>, y int").collect()
     x, y = np.array([r.x for r in got]).reshape(-1, FEATURES), np.array([r.y for r in got], float)
-    return Model(fresh, logistic(x, y))
+    return Model(fresh, logistic(x, y, PRIOR))
 
 
 def _innocent(rows: DataFrame, lexicon: Lexicon) -> frozenset:
@@ -262,34 +307,38 @@ def _innocent(rows: DataFrame, lexicon: Lexicon) -> frozenset:
     return frozenset(r.w for r in sums.where("n > p").collect())
 
 
-def _scored(docs: DataFrame, model: Model, extra: list[Column], text_col: str) -> DataFrame:
-    rows = docs.select(*extra, text_of(text_col).alias("__text"))
-    out = rows.drop("__text").withColumn("__score", F.lit(0.0)).schema
+def toxicity(docs: DataFrame, model: Model, *, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: the id, ``held_out``, ``score`` and ``predicted``.
+
+    Null text: empty; it gets the score of a text without words. A null id counts as the empty text for ``held_out``.
+    Other columns are ignored. An empty table gives an empty result.
+    """
+    rows = docs.select(text_of(text_col).alias("t"), F.col(id_col).alias("i"))
+    kind = rows.select("i", F.lit(0.0).alias("s")).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _batches(batches):
-            cols = [b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(model.scores(b.column(b.num_columns - 1).to_pylist()))], [f.name for f in out])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(model.scores(b.column(0).to_pylist()))], ["i", "s"])
 
-    return rows.mapInArrow(score, out)
+    return rows.mapInArrow(score, kind).select(F.col("i").alias(id_col), held_out(F.col("i")).alias("held_out"), F.col("s").alias("score"), (F.col("s") >= cut).cast("int").alias("predicted"))
 
 
-def toxicity(docs: DataFrame, model: Model, *, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id, ``held_out``, ``score`` and ``predicted``.
+def keep_clean(docs: DataFrame, model: Model, *, cut: float = CUT, text_col: str = "text") -> DataFrame:
+    """The rows whose score is under the cut, with their own columns, whatever their names.
 
-    Null text: empty; it gets the score of a text without words. A null id counts as the empty text for ``held_out``.
-    Other columns are ignored. An empty table gives an empty result.
+    Null text: empty, scored as a text without words and kept as null. Ids are not read, so rows with null or repeated
+    ids are judged each for itself. An empty table gives an empty result. The columns go through Python once, the text
+    among them.
     """
-    scored = _scored(docs, model, [F.col(id_col).alias("__id")], text_col)
-    return scored.select(F.col("__id").alias(id_col), held_out(F.col("__id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= cut).cast("int").alias("predicted"))
+    names, text = docs.columns, docs.columns.index(text_col)
+    rows = docs.toDF(*(f"c{k}" for k in range(len(names))))
 
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _batches(batches, text):
+            low = model.scores([t or "" for t in b.column(text).to_pylist()]) < cut
+            yield b if low.all() else b.filter(pa.array(low))
 
-def keep_clean(docs: DataFrame, model: Model, *, cut: float = CUT, text_col: str = "text") -> DataFrame:
-    """The rows whose score is under the cut, with their own columns."""
-    names = docs.columns
-    numbered = docs.toDF(*(f"c{k}" for k in range(len(names))))
-    scored = _scored(numbered, model, [F.col(f"c{k}") for k in range(len(names))], f"c{names.index(text_col)}")
-    return scored.where(F.col("__score") < cut).drop("__score").toDF(*names)
+    return rows.mapInArrow(clean, rows.schema).toDF(*names)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
