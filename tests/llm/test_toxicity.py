@@ -55,6 +55,9 @@ def test_logistic():
     x = np.array([[0.0], [0.0], [1.0], [1.0]] * 20)
     w = logistic(x, np.array([0.0, 0.0, 1.0, 1.0] * 20))
     assert w[0] > 3 and logistic(x, np.zeros(80))[0] == 0
+    rare = np.zeros((2000, 1))
+    rare[:20] = 3.0
+    assert 1 < logistic(rare, (rare[:, 0] > 0).astype(float), [1.0])[0] < 10  # Newton's full steps would run away from here
 
 
 def test_held_out_accuracy(spark):

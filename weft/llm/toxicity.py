@@ -209,7 +209,8 @@ def _batches(batches: Iterator[pa.RecordBatch], text: int = 0, most: int = 1 <<
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: Iterable[float] | None = None, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Newton steps; the last weight is the constant. Weights are drawn to ``prior``, or to zero. Without rows of both labels every score is the share of ones."""
+    """Newton steps, halved while they go up; the last weight is the constant. Weights are drawn to ``prior``, or to zero.
+    Without rows of both labels every score is the share of ones."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     if len(y) == 0 or y.min() == y.max():
@@ -218,10 +219,12 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: Iterable[float] | None = None,
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     middle = np.append(np.zeros(len(w) - 1) if prior is None else np.array(tuple(prior), float), 0.0)
-    w = middle.copy()
+    loss = lambda w: np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w)).sum() + (penalty * (w - middle) ** 2).sum() / 2
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * (w - middle))
+        while loss(w - step) > loss(w) and np.abs(step).max() >= 1e-8:  # a step too far, where the curve is flat
+            step /= 2
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
