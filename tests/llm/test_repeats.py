@@ -1,8 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
+
 from weft.llm.common import table
-from weft.llm.repeats import DEPTH, remove_repeats
+from weft.llm.repeats import DEPTH, WIDTH, Part, remove_repeats
 
 
 def brute(docs):
@@ -46,3 +48,14 @@ def test_odd_rows(odd, none):
     rows = [(x.doc_id, x.text) for x in odd.collect()]
     assert sorted(map(tuple, remove_repeats(odd).collect()), key=str) == sorted(brute(rows), key=str)
     assert remove_repeats(none).count() == 0
+
+
+def test_hash_of_zero(monkeypatch):
+    """A gram whose hash is 0 is an anchor like any other: every window of a document holds one."""
+    raw = bytes(range(40, 106))
+    plain = Part([raw], np.array([1]))
+    least = plain.anchors[len(plain.anchors) // 2]
+    digest = Part.digest
+    monkeypatch.setattr(Part, "digest", lambda self, a, b: np.where(np.asarray(a) == least, np.uint64(0), digest(self, a, b)))
+    anchors = Part([raw], np.array([1])).anchors
+    assert all(((anchors >= s) & (anchors < s + WIDTH)).any() for s in range(len(raw) - DEPTH + 1))

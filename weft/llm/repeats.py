@@ -65,7 +65,7 @@ class Part:
         if n >= DEPTH:
             grams = np.arange(n - GRAM + 1)
             h = self.digest(grams, grams + GRAM)
-            top = (h >> np.uint64(32)).astype(np.uint32)
+            top = np.maximum((h >> np.uint64(32)).astype(np.uint32), 1)  # 0 marks the windows that cross documents
             low = _sliding(top, WIDTH, np.minimum)  # of each window
             crossing = self.at[1:-1]
             for c in np.unique(crossing[(crossing > 0) & (crossing < n)]):
