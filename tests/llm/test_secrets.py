@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from weft.llm.secrets import NEEDS, SCOPE, STRONG, WEAK, find_secrets
 
@@ -60,3 +61,17 @@ def test_odd_rows(odd, none):
 def test_no_python(odd):
     plan = find_secrets(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_linear_in_matches(spark):
+    """Ten times the matches take far less than a hundred times as long; the places are right at the end too."""
+    line = "password: hunter22 0123456789abcdef01234567 login=bob_1\n"
+    took = []
+    for n in (4_000, 40_000):
+        began = time.monotonic()
+        got = find_secrets(spark.createDataFrame([(1, line * n)], "doc_id long, text string")).collect()[0]
+        took.append(time.monotonic() - began)
+        assert (got.n_assign, got.n_hex, got.n_linked) == (n, n, n)
+        assert got.spans.endswith(f"assign:{(n - 1) * len(line)}:{(n - 1) * len(line) + 18},hex:{(n - 1) * len(line) + 19}:{(n - 1) * len(line) + 43},id:{(n - 1) * len(line) + 44}:{n * len(line) - 1}")
+    assert took[1] < 40 * took[0] + 5
+    print(took)

@@ -30,6 +30,7 @@ WEAK = (
 #: What has to start within the scope of a weak candidate: for each kind, alternatives of roles that are needed together.
 NEEDS = {"id": (("secret",),), "key": (("access",), ("endpoint",)), "endpoint": (("access", "secret"),)}
 SCOPE = 200
+RUN = 256
 _PART = "struct<start:int,nth:int,end:int,kind:string,role:string>"
 
 
@@ -45,7 +46,16 @@ def _found(text: Column, nth: int, kind: str, pattern: str, role: str) -> Column
         part = F.struct(start.alias("start"), F.lit(nth).alias("nth"), (start + x["len"]).alias("end"), F.lit(kind).alias("kind"), F.lit(role).alias("role"))
         return F.struct((start + x["len"]).alias("at"), F.when(x["ok"], F.concat(acc["parts"], F.array(part))).otherwise(acc["parts"]).alias("parts"))
 
-    whole = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("parts")), step)["parts"]
+    def run(all_steps: Column) -> Column:
+        """Places within each run of matches; adding to an array copies it, so no array that grows is longer than a run."""
+        runs = F.sequence(F.lit(0), F.greatest(F.floor((F.size(all_steps) - 1) / RUN), F.lit(0)).cast("int"))
+        return F.transform(runs, lambda r: F.aggregate(F.slice(all_steps, r * RUN + 1, F.lit(RUN)), F.struct(F.lit(0).alias("at"), empty.alias("parts")), step))
+
+    def moved(runs: Column) -> Column:
+        begins = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<int>").alias("all")), lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
+        return F.flatten(F.zip_with(runs, begins, lambda r, b: F.transform(r["parts"], lambda p: F.struct((p["start"] + b).alias("start"), p["nth"].alias("nth"), (p["end"] + b).alias("end"), p["kind"].alias("kind"), p["role"].alias("role")))))
+
+    whole = F.get(F.transform(F.transform(F.array(steps), run), moved), F.lit(0))  # arrays of one bind a value to a name
     return F.when(text.rlike(pattern), whole).otherwise(empty)
 
 
