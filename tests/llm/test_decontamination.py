@@ -60,3 +60,25 @@ def test_odd_rows(spark, odd, none):
     assert sorted(tuple(x) for x in contaminated(odd, b).collect()) == [(7, 1, 1, 1, 1.0)] * 2
     assert contaminated(none, b).count() == 0 and contaminated(odd, b.limit(0)).count() == 0
     assert keep_uncontaminated(odd, b.limit(0)).count() == 10
+
+
+def test_short_items_and_small_blocks(spark):
+    """Items of one to four words are found as they stand, in one block or many, if asked for."""
+    r = random.Random(4)
+    pool = ["Alpha", "beta", "gamma", "delta", "Épsilon"]
+    say = lambda n: " ".join(r.choice(pool) for _ in range(n))
+    docs = [(k, say(r.randint(0, 9))) for k in range(120)] + [(200, None), (201, ""), (202, "...")]
+    items = [(k, say(r.randint(1, 4))) for k in range(25)] + [(30, say(7)), (31, None), (32, "?!")]
+    words = lambda t: words_of(t)
+    runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    want = set()
+    for i, a in items:
+        n = min(5, len(words_of(a)))
+        own = runs(words_of(a), n) if n else set()
+        for d, t in docs:
+            if own and len(own & runs(words_of(t), n)) >= 0.8 * len(own) - 1e-9:
+                want.add((d, i, len(own), len(own & runs(words_of(t), n))))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 200):
+        assert {tuple(x)[:4] for x in contaminated(d, b, block_bytes=size, short_items=True).collect()} == want
+        assert {x.doc_id for x in keep_uncontaminated(d, b, block_bytes=size, short_items=True).collect()} == {i for i, _ in docs} - {w[0] for w in want}

@@ -64,13 +64,13 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(start, at)
 
 
-def shingle_hashes(words: np.ndarray) -> np.ndarray:
-    """Hash of each run of five words; shorter input has none."""
-    n = len(words) - SHINGLE + 1
+def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hash of each run of five words, or of ``size`` up to five; shorter input has none."""
+    n = len(words) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     total = words[:n] * _PLACES[0]
-    for k in range(1, SHINGLE):
+    for k in range(1, size):
         total += words[k : k + n] * _PLACES[k]
     return mix(total)
 
