@@ -39,6 +39,11 @@ def test_repeats_are_labelled():
     assert first.tolist() == [0, 16, 18] and len(set(x[:16].tolist())) == 16 and x[16] == x[0]
 
 
+def test_sketches_do_not_depend_on_the_batch():
+    once, again = "a b c d e f g h", "x y z u v x y z u v x"
+    assert (order_minhash([once])[0][0] == order_minhash([once, again])[0][0]).all()
+
+
 def variants(r, n):
     say = lambda k: [r.choice("bcdfgh") + r.choice("aeiou") + r.choice("lmnrst") for _ in range(k)]
     texts = []

@@ -32,6 +32,18 @@ SHARE, SKETCHES, DEPTH, BINS = 0.8, 32, 4, 64
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def labelled(x: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the values with their number of occurrence within their owner; ``n`` owners. Whatever else is in the batch, equal values with equal numbers have equal hashes."""
+    seen = mix(x + series(n, 10)[owner]) if n else x
+    order = np.argsort(seen, kind="stable")
+    at = np.arange(len(seen))
+    again = np.zeros(len(seen), bool)
+    again[1:] = seen[order][1:] == seen[order][:-1]
+    label = np.empty(len(seen), np.uint64)
+    label[order] = (at - np.maximum.accumulate(np.where(again, 0, at))).astype(np.uint64)
+    return mix(x + label * np.uint64(0x9E3779B97F4A7C15))
+
+
 def kmers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(labelled k-mers of all texts in order, place of each text's first); a text of 1 to 4 words is one k-mer."""
     words, at = word_hashes(texts)
@@ -46,15 +58,7 @@ def kmers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for row in np.flatnonzero((counts > 0) & (counts < 5)):
         own = words[at[row] : at[row + 1]]
         out[first[row]] = mix((own * series(len(own), 9)).sum(keepdims=True))[0]
-    seen = mix(out + series(len(texts), 10)[owner]) if len(texts) else out
-    order = np.argsort(seen, kind="stable")
-    same = np.concatenate([[False], seen[order][1:] == seen[order][:-1]]) if len(seen) else np.zeros(0, bool)
-    if same.any():
-        run = np.arange(len(seen)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(seen))))
-        label = np.empty(len(seen), np.uint64)
-        label[order] = run.astype(np.uint64)
-        out = mix(out + label * np.uint64(0x9E3779B97F4A7C15))
-    return out, first
+    return labelled(out, owner, len(texts)), first
 
 
 def order_minhash(texts: list[str], n: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
