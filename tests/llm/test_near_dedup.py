@@ -152,3 +152,5 @@ def test_bins_never_exceed_edits():
         a, b = ([r.choice("abcdefgh") for _ in range(r.randint(0, 30))] for _ in range(2))
         x, y = bins([" ".join(a), " ".join(b)]).astype(int)
         assert x.sum() == len(a) and abs(x - y).sum() + abs(len(a) - len(b)) <= 2 * distance(a, b)
+        x, y = bins([" ".join(a), " ".join(b)], 1024, 2).astype(int)
+        assert x.max() <= 2 and abs(x - y).sum() + abs(len(a) - len(b)) <= 2 * distance(a, b)

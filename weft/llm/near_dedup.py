@@ -9,10 +9,11 @@ compared by the exact number of word edits within a diagonal band of the alignme
 Identical texts are one text from the start. In each bucket, texts with the same sketch or band, the first round compares
 all with one leader: the text that meets most others in all its buckets, since the original of a group of copies meets
 more than each copy. So a passage that a third of all texts share costs a comparison for each of them, not for each pair.
-Buckets of sketches whose texts are in more than one class then go on: the first 63, the next 4032, .. texts lead, against
+Buckets of sketches whose texts are in more than one class then go on: the first 15, the next 240, .. texts lead, against
 the texts of other classes only, until each text of such a bucket has led. So every two texts that share a sketch
 end in one class or have been compared, or their lengths or numbers of words by bin show that they are not similar:
-an edit changes the sum of the differences between the numbers in ``BINS`` bins of words by two at most.
+an edit changes the sum of the differences between the numbers in ``BINS`` bins of words by two at most; pairs that these
+leave are held against ``FINE`` bins, since a long text fills the few.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from weft.llm.common import keep, only, table, text_of
 from weft.llm.words import mix, series, shingle_hashes, slices, word_hashes, words_of
 
-SHARE, SKETCHES, DEPTH, BINS = 0.8, 32, 4, 64
+SHARE, SKETCHES, DEPTH, BINS, FINE = 0.8, 32, 4, 64, 1024
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -154,15 +155,18 @@ def buckets(texts: list[str], sketches: int = SKETCHES, depth: int = DEPTH) -> t
     return np.hstack([found, mix(bands + np.uint64(depth))]), rows
 
 
-def bins(texts: list[str]) -> np.ndarray:
-    """The number of words in each of ``BINS`` bins, a row for each text; numbers too large for 16 bits are cut, which only makes differences smaller."""
+def bins(texts: list[str], n: int = BINS, most: int = 32767) -> np.ndarray:
+    """The number of words in each of ``n`` bins, a row for each text; numbers above ``most`` are cut, which only makes differences smaller."""
     words, at = word_hashes(texts)
-    place = np.repeat(np.arange(len(texts)), np.diff(at)) * BINS + (mix(words) % np.uint64(BINS)).astype(np.int64)
-    return np.minimum(np.bincount(place, minlength=len(texts) * BINS), 32767).astype(np.int16).reshape(-1, BINS)
+    place = np.repeat(np.arange(len(texts)), np.diff(at)) * n + (mix(words) % np.uint64(n)).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=len(texts) * n), most).astype(np.int8 if most < 128 else np.int16).reshape(-1, n)
 
 
 def _bucketed(rows: DataFrame, sketches: int) -> DataFrame:
-    """(key, words, buckets, bins) of rows (key, text)."""
+    """(key, words, buckets, bins, fine) of rows (key, text)."""
+
+    def numbers(x: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,10 +178,10 @@ def _bucketed(rows: DataFrame, sketches: int) -> DataFrame:
                 sizes = np.zeros(len(some) + 1, np.int32)
                 sizes[which + 1] = 2 * sketches
                 lists = pa.ListArray.from_arrays(np.cumsum(sizes, dtype=np.int32), pa.array(found.view(np.int64).ravel()))
-                numbers = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * BINS, pa.array(bins(some).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, len(s)), pa.array(counts, pa.int64()), lists, numbers], ["key", "words", "buckets", "bins"])
+                out = [b.column(0).slice(s.start, len(s)), pa.array(counts, pa.int64()), lists, numbers(bins(some)), numbers(bins(some, FINE, 127))]
+                yield pa.RecordBatch.from_arrays(out, ["key", "words", "buckets", "bins", "fine"])
 
-    return rows.mapInArrow(work, "key binary, words long, buckets array<long>, bins array<short>")
+    return rows.mapInArrow(work, "key binary, words long, buckets array<long>, bins array<short>, fine array<byte>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
@@ -263,18 +267,19 @@ def _texts(rows: DataFrame, share: float, sketches: int) -> tuple[DataFrame, Dat
     while True:
         of = members.where(f"n >= {low}").join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
         mixed = of.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("bucket")
-        ranked = keep(of.join(mixed, "bucket", "left_semi").join(info.select("key", F.slice("buckets", 1, sketches).alias("sketches"), "bins"), "key"), f"op4-mixed-{step}")
+        ranked = keep(of.join(mixed, "bucket", "left_semi").join(info.select("key", F.slice("buckets", 1, sketches).alias("sketches"), "bins", "fine"), "key"), f"op4-mixed-{step}")
         if ranked.isEmpty():
             break
         place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("meets"), F.desc("key")))
-        lead = ranked.withColumn("r", place).where(f"r >= {max(low, 2)} and r < {64 * low}").select("bucket", *(F.col(c).alias(f"l_{c}") for c in ("key", "words", "class", "meets", "sketches", "bins")))
+        lead = ranked.withColumn("r", place).where(f"r >= {max(low, 2)} and r < {16 * low}").select("bucket", *(F.col(c).alias(f"l_{c}") for c in ("key", "words", "class", "meets", "sketches", "bins", "fine")))
         shared = F.array_compact(F.zip_with("l_sketches", "sketches", lambda x, y: F.when(x == y, x)))
         below = F.struct("meets", "key") < F.struct(F.col("l_meets").alias("meets"), F.col("l_key").alias("key"))
-        apart = F.aggregate(F.zip_with("l_bins", "bins", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y) + F.abs(F.col("words") - F.col("l_words"))
-        like = apart <= 2 * ((1 - share) * F.greatest("words", "l_words") + 1e-9)
-        more = lead.join(ranked, "bucket").where((F.col("l_class") != F.col("class")) & below & near("words", "l_words") & like & (F.get(shared, F.lit(0)) == F.col("bucket")))
+        apart = lambda c: F.aggregate(F.zip_with(f"l_{c}", c, lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y) + F.abs(F.col("words") - F.col("l_words"))
+        like = lambda c: apart(c) <= 2 * ((1 - share) * F.greatest("words", "l_words") + 1e-9)
+        first = F.get(shared, F.lit(0)) == F.col("bucket")
+        more = lead.join(ranked, "bucket").where((F.col("l_class") != F.col("class")) & below & near("words", "l_words") & like("bins") & first & like("fine"))
         more = more.select(F.col("l_key").alias("a"), F.col("key").alias("b"))
-        step, low = step + 1, 64 * low
+        step, low = step + 1, 16 * low
         new = keep(_verified(keep(more.join(pairs, ["a", "b"], "left_anti"), f"op4-pairs-{step}"), texts, share), f"op4-links-{step}")
         if not new.isEmpty():
             links = links.unionByName(new)
