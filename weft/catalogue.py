@@ -109,7 +109,7 @@ CATALOGUE: dict[str, tuple[str, str]] = {
         'g.V().hasLabel("customer").out("placed").out("contains").count()',
         'select count(*) as value from orders join lineitem on o_orderkey=l_orderkey',
     ),
-    "values_multi": (
+    "values_two_labels": (
         'g.V().hasLabel("nation","region").values("name")',
         'select n_name as value from nation union all select r_name from region',
     ),
@@ -285,6 +285,74 @@ CATALOGUE: dict[str, tuple[str, str]] = {
         'g.V().hasLabel("nation").union(out("in_region"),in("in_nation")).dedup().count()',
         'select (select count(distinct n_regionkey) from nation)+(select count(*) from customer)+(select count(*) from supplier) as value',
     ),
+    "values_two_keys": (
+        'g.V().hasLabel("document").values("lang","source")',
+        'select lang as value from documents where lang is not null union all select source from documents where source is not null',
+    ),
+    "values_all_keys": (
+        'g.V().hasLabel("region","nation").values()',
+        'select n_name as value from nation union all select r_name from region',
+    ),
+    "has_one_argument": (
+        'g.V().has("brand").count()',
+        'select count(*) as value from part where p_brand is not null',
+    ),
+    "where_lt": (
+        'g.V().hasLabel("nation").as("a").out("in_region").in("in_region").where(lt("a")).count()',
+        'select count(*) as value from nation x join nation y on x.n_regionkey=y.n_regionkey where y.n_nationkey<x.n_nationkey',
+    ),
+    "where_lte": (
+        'g.V().hasLabel("nation").as("a").out("in_region").in("in_region").where(lte("a")).count()',
+        'select count(*) as value from nation x join nation y on x.n_regionkey=y.n_regionkey where y.n_nationkey<=x.n_nationkey',
+    ),
+    "where_gte": (
+        'g.V().hasLabel("nation").as("a").out("in_region").in("in_region").as("b").where("b",gte("a")).count()',
+        'select count(*) as value from nation x join nation y on x.n_regionkey=y.n_regionkey where y.n_nationkey>=x.n_nationkey',
+    ),
+    "where_eq_triangle": (
+        'g.V().hasLabel("customer").as("a").out("placed").in("placed").where(eq("a")).count()',
+        'select count(*) as value from orders join customer on c_custkey=o_custkey',
+    ),
+    "where_between_labels": (
+        'g.V().hasLabel("customer").values("acctbal").as("a").is(gt(9000.0)).as("b").where(between("a","b")).count()',
+        'select count(*) as value from customer where c_acctbal>9000',
+    ),
+    "where_inside_labels": (
+        'g.V().hasLabel("region").as("a").in("in_region").as("b").in("in_nation").hasLabel("customer").as("c").where("b",inside("a","c")).count()',
+        'select count(*) as value from nation join customer on c_nationkey=n_nationkey where n_nationkey*16+2>n_regionkey*16+1 and n_nationkey*16+2<c_custkey*16+3',
+    ),
+    "where_outside_labels": (
+        'g.V().hasLabel("region").as("a").in("in_region").as("b").in("in_nation").hasLabel("customer").as("c").where("b",outside("a","c")).count()',
+        'select count(*) as value from nation join customer on c_nationkey=n_nationkey where n_nationkey*16+2<n_regionkey*16+1 or n_nationkey*16+2>c_custkey*16+3',
+    ),
+    "branch_limit": (
+        'g.V().hasLabel("customer").where(out("placed").limit(3).count().is(3)).count()',
+        'select count(*) as value from customer where (select count(*) from orders where o_custkey=c_custkey)>=3',
+    ),
+    "branch_order_range": (
+        'g.V().hasLabel("customer").where(out("placed").values("totalprice").order(decr).range(1,1).is(gt(300000.0))).count()',
+        'select count(*) as value from (select o_totalprice p, row_number() over (partition by o_custkey order by o_totalprice desc) r from orders join customer on c_custkey=o_custkey) where r=2 and p>300000',
+    ),
+    "branch_sum": (
+        'g.V().hasLabel("order").where(outE("contains").values("quantity").sum().is(gt(150.0))).count()',
+        'select count(*) as value from orders where (select sum(l_quantity) from lineitem where l_orderkey=o_orderkey)>150',
+    ),
+    "branch_mean": (
+        'g.V().hasLabel("order").where(outE("contains").values("quantity").mean().is(gt(40.0))).count()',
+        'select count(*) as value from orders where (select avg(l_quantity) from lineitem where l_orderkey=o_orderkey)>40',
+    ),
+    "order_by_label": (
+        'g.V().hasLabel("nation","region").order(label,decr).limit(5).values("name")',
+        'select r_name as value from region',
+    ),
+    "group_count_two_keys": (
+        'g.V().hasLabel("customer").groupCount("mktsegment","name")',
+        'select c_mktsegment as key, count(*) as count from customer where c_name is not null group by 1',
+    ),
+    "has_key_edge": (
+        'g.E().hasLabel("contains").hasKey("discount").count()',
+        'select count(*) as value from lineitem where l_discount is not null',
+    ),
 }
 
 
