@@ -1,10 +1,11 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 
 from weft.llm.common import table
-from weft.llm.repeats import DEPTH, WIDTH, Part, remove_repeats
+from weft.llm.repeats import DEPTH, WIDTH, Part, _met, remove_repeats
 
 
 def brute(docs):
@@ -59,3 +60,43 @@ def test_hash_of_zero(monkeypatch):
     monkeypatch.setattr(Part, "digest", lambda self, a, b: np.where(np.asarray(a) == least, np.uint64(0), digest(self, a, b)))
     anchors = Part([raw], np.array([1])).anchors
     assert all(((anchors >= s) & (anchors < s + WIDTH)).any() for s in range(len(raw) - DEPTH + 1))
+
+
+def test_gaps_give_the_anchors_back():
+    r = random.Random(2)
+    docs = [bytes(r.choices(b"ab cd", k=n)) for n in (0, 49, 50, 400, 0, 7, 83, 2000, 12)]
+    ids = np.arange(len(docs))
+    found = Part(docs, ids)
+    again = Part(docs, ids, found.gaps())
+    for x in ("anchors", "owner", "keys", "begin", "ends"):
+        assert getattr(found, x).tolist() == getattr(again, x).tolist()
+    assert [len(g) > 0 for g in found.gaps()] == [len(d) >= DEPTH for d in docs]
+
+
+def test_what_meets_is_cut_by_part_in_linear_time():
+    """Six gigabytes have hundreds of parts in each bucket; a look at all rows for each part would take minutes here."""
+    kind = np.dtype([("key", "<u8")])
+
+    def odd(every):
+        use = every["key"] % 2 == 1
+        return use, every[use]
+
+    keys = np.arange(1_200_000, dtype=np.uint64).view(kind)
+    sent = [(part, keys[30 * part : 30 * part + 30]) for part in range(40_000)]
+    began = time.process_time()
+    got = list(_met(sent, odd))
+    assert time.process_time() - began < 5
+    assert [p for p, _ in got] == list(range(40_000))
+    assert all(own["key"].tolist() == list(range(30 * p + 1, 30 * p + 30, 2)) for p, own in got)
+    none = list(_met([(0, keys[:1]), (1, keys[:0]), (2, keys[1:3])], odd))
+    assert [(p, own["key"].tolist()) for p, own in none] == [(2, [1])]
+
+
+def test_many_parts(spark):
+    """A passage that all parts share, and others that some share."""
+    r = random.Random(8)
+    say = lambda n: "".join(r.choice(["th", "er", "on", " ", "a"]) for _ in range(n))
+    pool = [say(80) for _ in range(6)]
+    docs = [(k, say(9) + pool[0] + say(20) + r.choice(pool) + say(k % 50)) for k in range(240)]
+    got = remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(48, "doc_id")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(docs))

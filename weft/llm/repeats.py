@@ -15,7 +15,9 @@ digit to the full depth, and groups of one leave after each:
 Digits are 64-bit hashes (48 bits in the first pass, whose groups later passes split again). Each pass combines in the
 input partition first: a partition sends one record for each digit it has, with its smallest document, so a passage that
 a third of all documents share is one record per partition. Answers go back to the partition as one file under the shared
-folder; what a pass has shuffled is deleted when it ends.
+folder; what a pass has shuffled is deleted when it ends. Anchors are looked for once and lie beside the texts, as a byte
+for each: the gap to the one before. What meets at a key's bucket is cut by where it came from in one go, so that time is
+linear in the records, however many partitions there are.
 """
 
 from __future__ import annotations
@@ -51,35 +53,49 @@ def _sliding(x: np.ndarray, width: int, best: Callable) -> np.ndarray:
 
 
 class Part:
-    """Some documents as one run of bytes, with anchors; places are in the run."""
+    """Some documents as one run of bytes, with anchors; places are in the run. ``gaps``: what ``gaps()`` gave for each document."""
 
-    def __init__(self, docs: list[bytes], ids: np.ndarray):
+    def __init__(self, docs: list[bytes], ids: np.ndarray, gaps: list[bytes] | None = None):
         self.ids, self.at = ids, np.cumsum([0, *map(len, docs)])
         self.data = np.frombuffer(b"".join(docs), np.uint8)
         n = len(self.data)
         up, self.down = _powers_to(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_VALUES[self.data] * up[:n], out=self.sums[1:])
-        self.anchors = self.owner = np.empty(0, np.int64)
-        self.ends = np.empty(0, np.int64)
-        if n >= DEPTH:
-            grams = np.arange(n - GRAM + 1)
-            h = self.digest(grams, grams + GRAM)
-            top = np.maximum((h >> np.uint64(32)).astype(np.uint32), 1)  # 0 marks the windows that cross documents
-            low = _sliding(top, WIDTH, np.minimum)  # of each window
-            crossing = self.at[1:-1]
-            for c in np.unique(crossing[(crossing > 0) & (crossing < n)]):
-                low[max(0, c - DEPTH + 1) : c] = 0
-            most = _sliding(np.concatenate([np.zeros(WIDTH - 1, np.uint32), low, np.zeros(WIDTH - 1, np.uint32)]), WIDTH, np.maximum)
-            real = (most == top) & (most > 0)
-            self.anchors = np.flatnonzero(real)
+        if gaps is None:
+            self.anchors = self._anchors()
             self.owner = np.searchsorted(self.at, self.anchors, "right") - 1
-            self.keys = h[self.anchors] & _LOW
-            self.begin = np.maximum(self.at[self.owner], self.anchors - WIDTH + 1)
-            self.ends = np.minimum(self.at[self.owner + 1], self.anchors + DEPTH)
         else:
-            self.keys = np.empty(0, np.uint64)
-            self.begin = self.ends
+            first = np.cumsum([0, *map(len, gaps)])
+            way = np.concatenate([[0], np.cumsum(np.frombuffer(b"".join(gaps), np.uint8), dtype=np.int64)])
+            self.owner = np.repeat(np.arange(len(docs)), np.diff(first))
+            self.anchors = way[1:] + np.repeat(self.at[:-1] - way[first[:-1]], np.diff(first))
+        self.keys = self.digest(self.anchors, self.anchors + GRAM) & _LOW
+        self.begin = np.maximum(self.at[self.owner], self.anchors - WIDTH + 1)
+        self.ends = np.minimum(self.at[self.owner + 1], self.anchors + DEPTH)
+
+    def _anchors(self) -> np.ndarray:
+        n = len(self.data)
+        if n < DEPTH:
+            return np.empty(0, np.int64)
+        grams = np.arange(n - GRAM + 1)
+        h = self.digest(grams, grams + GRAM)
+        top = np.maximum((h >> np.uint64(32)).astype(np.uint32), 1)  # 0 marks the windows that cross documents
+        low = _sliding(top, WIDTH, np.minimum)  # of each window
+        crossing = self.at[1:-1]
+        for c in np.unique(crossing[(crossing > 0) & (crossing < n)]):
+            low[max(0, c - DEPTH + 1) : c] = 0
+        most = _sliding(np.concatenate([np.zeros(WIDTH - 1, np.uint32), low, np.zeros(WIDTH - 1, np.uint32)]), WIDTH, np.maximum)
+        return np.flatnonzero((most == top) & (most > 0))
+
+    def gaps(self) -> list[bytes]:
+        """For each document its anchors, each as the way from the one before or from the text's begin; under ``WIDTH`` + 1, as any window has one."""
+        first = np.searchsorted(self.owner, np.arange(len(self.ids) + 1))
+        before = np.concatenate([[0], self.anchors[:-1]]) if len(self.anchors) else self.anchors
+        start = first[:-1][first[:-1] < first[1:]]
+        before[start] = self.at[self.owner[start]]
+        raw = (self.anchors - before).astype(np.uint8).tobytes()
+        return [raw[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
     def digest(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
@@ -91,26 +107,50 @@ class Part:
         return self.ids[self.owner[some]]
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which of wanted are in the sorted keys, their places)."""
-    if not len(keys):
-        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return keys[at] == wanted, at
-
-
-def _firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by keys, the first most significant; where in it a new value of the first key begins)."""
-    order = np.lexsort(keys[::-1])
-    k = keys[0][order]
-    return order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+class Keys:
+    """Sorted hashes, with the place where each of their first digits begins: a look-up reads a few places, not log n far apart."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.ascontiguousarray(keys)
+        n = len(keys)
+        if n:
+            bits = int(keys[-1]).bit_length()
+            digits = min(bits, n.bit_length() + 1)
+            self.shift, self.most = np.uint64(bits - digits), np.uint64(1 << digits)
+            self.index = np.searchsorted(self.keys >> self.shift, np.arange((1 << digits) + 2, dtype=np.uint64))
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of wanted are among the keys, their places)."""
+        n = len(self.keys)
+        if not n or not len(wanted):
+            return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+        digit = np.minimum(wanted >> self.shift, self.most).astype(np.int64)
+        at, end = self.index[digit], self.index[digit + 1]
+        if (end - at).max() > 64:  # hashes are even; other numbers need not be
+            at = np.searchsorted(self.keys, wanted)
+        else:
+            left = np.flatnonzero(at < end)
+            while len(left):
+                left = left[self.keys[at[left]] < wanted[left]]
+                at[left] += 1
+                left = left[at[left] < end[left]]
+        at = np.minimum(at, n - 1)
+        return self.keys[at] == wanted, at
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by key, begin of groups of a key, group of each in order)."""
+    order = np.argsort(keys)
+    k = keys[order]
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+    return order, begin, np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
 
 
 class Resolved:
     """What pass 2 tells about a part's anchors."""
 
-    def __init__(self, part: Part, answer: np.ndarray):
-        has, at = _find(answer["key"], part.keys)
+    def __init__(self, part: Part, answer: np.ndarray, keys: Keys):
+        has, at = keys.find(part.keys)
         some = np.flatnonzero(has)
         context, doc, own = part.contexts(some), part.doc(some), answer[at[some]]
         self.gone = some[(context == own["context"]) & (doc > own["doc"])]
@@ -131,19 +171,21 @@ def _sides(part: Part, anchors: np.ndarray) -> list[tuple[np.ndarray, ...]]:
     return out
 
 
-def _windows(part: Part, anchors: np.ndarray, gone: np.ndarray, known: np.ndarray) -> np.ndarray:
+def _inside(first: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of these ranges."""
+    return np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(end, minlength=n + 1))[:n] > 0
+
+
+def _windows(part: Part, anchors: np.ndarray, gone: np.ndarray, known: Keys) -> np.ndarray:
     """Starts of the windows over these anchors whose side more than one document has, and that do not lie in a context that goes anyway."""
-    n = len(part.data)
-    mark = np.zeros(n + 1, np.int32)
+    n, firsts, ends = len(part.data), [], []
     for digit, ok, first, last in _sides(part, anchors):
         some = ok & (first <= last)
-        some[some] = _find(known, digit[some])[0]
-        np.add.at(mark, first[some], 1)
-        np.add.at(mark, last[some] + 1, -1)
-    for_sure = np.zeros(n + 1, np.int32)
-    np.add.at(for_sure, part.begin[gone], 1)
-    np.add.at(for_sure, part.ends[gone] - DEPTH + 1, -1)
-    return np.flatnonzero((np.cumsum(mark)[:n] > 0) & (np.cumsum(for_sure)[:n] == 0))
+        some[some] = known.find(digit[some])[0]
+        firsts.append(first[some])
+        ends.append(last[some] + 1)
+    asked = _inside(np.concatenate(firsts), np.concatenate(ends), n)
+    return np.flatnonzero(asked & ~_inside(part.begin[gone], part.ends[gone] - DEPTH + 1, n))
 
 
 _FIRST = np.dtype([("key", "<u8"), ("many", "?")])
@@ -175,55 +217,100 @@ def _answer(folder: str, step: int, part: int, kind: np.dtype) -> np.ndarray:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[Part]]]:
+    """The columns are part, i, t and, if anchors are known, a."""
+
     def each() -> Iterator[tuple[int, Part]]:
         for b in batches:
-            of, ids, texts = b.column(0).to_pylist(), np.array([_NO_ID if i is None else i for i in b.column(1).to_pylist()], np.int64), b.column(2).to_pylist()
+            of, ids = b.column(0).to_pylist(), np.array([_NO_ID if i is None else i for i in b.column(1).to_pylist()], np.int64)
+            raw = b.column(2).cast(pa.large_binary() if pa.types.is_large_string(b.column(2).type) else pa.binary()).to_pylist()
+            gaps = b.column(3).to_pylist() if b.num_columns > 3 else None
             at = 0
             for part, run in groupby(of):
                 n = len(list(run))
-                raw = [t.encode("utf-8", "surrogatepass") for t in texts[at : at + n]]
-                for s in slices(list(map(len, raw)), 1 << 20):
-                    yield part, Part(raw[s.start : s.stop], ids[at + s.start : at + s.stop])
+                for s in slices(list(map(len, raw[at : at + n])), 1 << 17):  # their arrays stay in the cache
+                    own = slice(at + s.start, at + s.stop)
+                    yield part, Part(raw[own], ids[own], gaps and gaps[own])
                 at += n
 
     for part, run in groupby(each(), key=lambda x: x[0]):
         yield part, (p for _, p in run)
 
 
+def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with their anchors."""
+    for b in batches:
+        found = [g for _, run in _parts(iter([b])) for p in run for g in p.gaps()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], ["part", "i", "t", "a"])
+
+
+def _batches(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of numbers and, last, bytes; of those some megabytes in a batch, as each batch has a cost of its own."""
+
+    def batch() -> pa.RecordBatch:
+        *numbers, data = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in numbers), pa.array(data, pa.binary())], names)
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= 4 << 20:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    return (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+
+
+def _met(sent: list[tuple[int, np.ndarray]], settle: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+    """What is settled of all that has met, by (part, its questions); the answers are in the order of the questions, so one cut for each part."""
+    use, out = settle(np.concatenate([x for _, x in sent]))
+    cuts = np.concatenate([[0], np.cumsum(use)])[np.cumsum([0, *(len(x) for _, x in sent)])]
+    for (part, _), a, b in zip(sent, cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield part, out[a:b]
+
+
 class _Job:
-    """The passes over the laid out documents; ``rows`` has part, i, t, the rows of a part together."""
+    """The passes over the laid out documents; ``rows`` has part, i, t, a, the rows of a part together."""
 
     def __init__(self, rows: DataFrame, folder: str, buckets: int):
         self.rows, self.folder, self.buckets = rows, folder, buckets
 
-    def ask(self, step: int, questions: Callable[[int, Iterator[Part]], np.ndarray], settle: Callable[[np.ndarray, np.ndarray], np.ndarray], asked: np.dtype, told: np.dtype) -> None:
-        """Each part's questions go to a bucket by key, where all of a key meet; what is settled goes back to the part."""
+    def ask(self, step: int, questions: Callable[[int, Iterator[Part]], np.ndarray], settle: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], asked: np.dtype, told: np.dtype) -> None:
+        """Each part's questions go to a bucket by key, where all of a key meet; what is settled goes back to the part.
+
+        ``settle`` gives which of its rows have an answer, and the answers in the order of these.
+        """
         n, folder = self.buckets, f"{self.folder}/answer-{step}"
 
-        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for part, run in _parts(batches):
                 found = questions(part, run)
-                to = (found["key"] % np.uint64(n)).astype(np.int64)
+                to = (found["key"] % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.int64)
                 order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(n + 1))
-                for k in np.flatnonzero(np.diff(cuts)):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([_packed(found[order[cuts[k] : cuts[k + 1]]])], pa.binary())], ["bucket", "part", "data"])
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=n))])
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    yield k, part, _packed(found[order[cuts[k] : cuts[k + 1]]])
+
+        def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            for _, run in groupby(_rows(batches), key=lambda r: r[0]):
+                for part, own in _met([(p, _unpacked(d, asked)) for _, p, d in run], settle):
+                    yield part, _packed(own)
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _batches(pieces(batches), ["bucket", "part", "data"])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-            for _, run in groupby(rows, key=lambda r: r[0]):
-                who, sent = zip(*((p, _unpacked(d, asked)) for _, p, d in run), strict=True)
-                owner = np.repeat(np.array(who), [len(x) for x in sent])
-                every = np.concatenate(sent)
-                use, out = settle(every, owner)
-                for p, own in ((p, out[owner[use] == p]) for p in np.unique(owner[use])):
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_packed(own)], pa.binary())], ["part", "data"])
+            return _batches(answers(batches), ["part", "data"])
 
         def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-            for part, run in groupby(rows, key=lambda r: r[0]):
+            for part, run in groupby(_rows(batches), key=lambda r: r[0]):
                 found = np.concatenate([_unpacked(d, told) for _, d in run])
-                order, begin = _firsts(found["key"])
+                order, begin, _ = _groups(found["key"])
                 put_whole(f"{folder}/{part:08d}", lambda out, x=_packed(found[order[begin]]): out.write(x))
                 yield pa.RecordBatch.from_arrays([pa.array([len(begin)], pa.int64())], ["n"])
 
@@ -233,12 +320,6 @@ class _Job:
             back.mapInArrow(store, "n long").agg(F.sum("n")).collect()
 
 
-def _groups(every: np.ndarray, *more: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, begin of groups of a key, group of each in order)."""
-    order, begin = _firsts(every["key"], *(every[m] for m in more))
-    return order, begin, np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
-
-
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """One row per input row: the id, n_bytes, n_removed, n_spans, kept_sha256, and with ``texts`` also the bytes ``kept``.
 
@@ -249,85 +330,97 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     folder = scratch(spark, "op9")
     laid = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).cast("long").alias("i"), text_of(text_col).alias("t"))
-    laid.write.option("compression", "zstd").parquet(f"{folder}/documents")
-    job = _Job(spark.read.schema("part int, i long, t string").parquet(f"{folder}/documents"), folder, tasks(spark))
+    laid.mapInArrow(_lay, "part int, i long, t string, a binary").write.option("compression", "zstd").parquet(f"{folder}/documents")
+    job = _Job(spark.read.schema("part int, i long, t string, a binary").parquet(f"{folder}/documents"), folder, tasks(spark))
 
     def held(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Of (keys, ids): each key, and whether more than one id has it."""
         keys, ids = (np.concatenate([f[k] for f in found]) if found else np.empty(0, kind) for k, kind in ((0, np.uint64), (1, np.int64)))
-        order, begin = _firsts(keys, ids)
+        order, begin, _ = _groups(keys)
         out = np.empty(len(begin), _FIRST)
-        last = np.append(begin[1:], len(order)) - 1
-        out["key"], out["many"] = keys[order[begin]], ids[order[begin]] != ids[order[last]] if len(begin) else False
+        if len(begin):
+            ids = ids[order]
+            out["key"], out["many"] = keys[order[begin]], np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin)
         return out
 
     def first(part: int, run: Iterator[Part]) -> np.ndarray:
         return held([(p.keys, p.ids[p.owner]) for p in run])
 
-    def known(every: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order, begin, group = _groups(every)
-        size = np.diff(np.append(begin, len(order)))
-        use = order[((size > 1) | np.logical_or.reduceat(every["many"][order], begin))[group]] if len(begin) else order
+    def known(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order, begin, group = _groups(every["key"])
+        use = np.zeros(len(every), bool)
+        if len(begin):
+            use[order] = ((np.diff(np.append(begin, len(order))) > 1) | np.logical_or.reduceat(every["many"][order], begin))[group]
         return use, every[use]
 
     job.ask(1, first, known, _FIRST, _FIRST)
 
     def second(part: int, run: Iterator[Part]) -> np.ndarray:
-        alive, found = _answer(folder, 1, part, _FIRST)["key"], []
+        alive, found = Keys(_answer(folder, 1, part, _FIRST)["key"]), []
         for p in run:
-            some = np.flatnonzero(_find(alive, p.keys)[0])
+            some = np.flatnonzero(alive.find(p.keys)[0])
             x = np.empty(len(some), _SECOND)
             x["key"], x["doc"], x["context"], x["mixed"] = p.keys[some], p.doc(some), p.contexts(some), False
             found.append(x)
-        return combine(np.concatenate(found))
+        return smallest(np.concatenate(found))[0]
 
-    def combine(x: np.ndarray) -> np.ndarray:
-        order, begin, group = _groups(x, "doc", "context")
-        x = x[order]
-        out = x[begin]
+    def smallest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(for each key its smallest document, that one's smallest context, and whether there are others; order, group of each in order)."""
+        order, begin, group = _groups(x["key"])
+        out = np.empty(len(begin), _SECOND)
         if len(begin):
-            out["mixed"] = np.logical_or.reduceat(x["mixed"] | (x["context"] != out["context"][group]), begin)
-        return out
+            doc, context = x["doc"][order], x["context"][order]
+            out["key"], out["doc"] = x["key"][order[begin]], np.minimum.reduceat(doc, begin)
+            out["context"] = np.minimum.reduceat(np.where(doc == out["doc"][group], context, ~np.uint64(0)), begin)
+            out["mixed"] = np.logical_or.reduceat(x["mixed"][order] | (context != out["context"][group]), begin)
+        return out, order, group
 
-    def smallest(every: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order, begin, group = _groups(every, "doc", "context")
-        return order, combine(every)[group]
+    def alike(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, order, group = smallest(every)
+        out = np.empty(len(every), _SECOND)
+        out[order] = found[group]
+        return np.ones(len(every), bool), out
 
-    job.ask(2, second, smallest, _SECOND, _SECOND)
+    job.ask(2, second, alike, _SECOND, _SECOND)
 
     def third(part: int, run: Iterator[Part]) -> np.ndarray:
         answer, found = _answer(folder, 2, part, _SECOND), []
+        keys = Keys(answer["key"])
         for p in run:
-            r = Resolved(p, answer)
+            r = Resolved(p, answer, keys)
             found += [(digit[ok], p.doc(r.open[ok])) for digit, ok, _, _ in _sides(p, r.open)]
         return held(found)
 
     job.ask(3, third, known, _FIRST, _FIRST)
 
     def last(part: int, run: Iterator[Part]) -> np.ndarray:
-        answer, sides, found = _answer(folder, 2, part, _SECOND), _answer(folder, 3, part, _FIRST)["key"], []
+        answer, sides, found = _answer(folder, 2, part, _SECOND), Keys(_answer(folder, 3, part, _FIRST)["key"]), []
+        keys = Keys(answer["key"])
         for p in run:
-            r = Resolved(p, answer)
+            r = Resolved(p, answer, keys)
             if len(r.open):
                 starts = _windows(p, r.open, r.gone, sides)
                 x = np.empty(len(starts), _LAST)
                 x["key"], x["doc"], x["many"] = p.digest(starts, starts + DEPTH), p.ids[np.searchsorted(p.at, starts, "right") - 1], False
                 found.append(x)
-        return least(np.concatenate(found)) if found else np.empty(0, _LAST)
+        return least(np.concatenate(found))[0] if found else np.empty(0, _LAST)
 
-    def least(x: np.ndarray) -> np.ndarray:
-        order, begin, group = _groups(x, "doc")
-        x = x[order]
-        out = x[begin]
+    def least(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(for each key its smallest document, and whether there are others; order, group of each in order)."""
+        order, begin, group = _groups(x["key"])
+        out = np.empty(len(begin), _LAST)
         if len(begin):
-            out["many"] = np.logical_or.reduceat(x["many"] | (x["doc"] != out["doc"][group]), begin)
-        return out
-
-    def repeated(every: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order, begin, group = _groups(every, "doc")
-        out = least(every)
-        use = out["many"][group]
-        return order[use], out[group[use]]
+            doc = x["doc"][order]
+            out["key"], out["doc"] = x["key"][order[begin]], np.minimum.reduceat(doc, begin)
+            out["many"] = np.logical_or.reduceat(x["many"][order] | (doc != out["doc"][group]), begin)
+        return out, order, group
+
+    def repeated(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, order, group = least(every)
+        to = np.empty(len(every), np.int64)
+        to[order] = group
+        use = found["many"][to] if len(every) else np.zeros(0, bool)
+        return use, found[to[use]]
 
     job.ask(4, last, repeated, _LAST, _LAST)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts]
@@ -335,20 +428,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, run in _parts(batches):
-            answer, sides, windows = _answer(folder, 2, part, _SECOND), _answer(folder, 3, part, _FIRST)["key"], _answer(folder, 4, part, _LAST)
+            answer, sides, windows = _answer(folder, 2, part, _SECOND), Keys(_answer(folder, 3, part, _FIRST)["key"]), _answer(folder, 4, part, _LAST)
+            keys, whole = Keys(answer["key"]), Keys(windows["key"])
             for p in run:
-                r = Resolved(p, answer)
+                r = Resolved(p, answer, keys)
                 n = len(p.data)
-                mark = np.zeros(n + 1, np.int32)
-                np.add.at(mark, p.begin[r.gone], 1)
-                np.add.at(mark, p.ends[r.gone], -1)
+                gone = _inside(p.begin[r.gone], p.ends[r.gone], n)
                 if len(r.open):
                     starts = _windows(p, r.open, r.gone, sides)
-                    has, at = _find(windows["key"], p.digest(starts, starts + DEPTH))
-                    has[has] = windows["doc"][at[has]] < p.ids[np.searchsorted(p.at, starts[has], "right") - 1]
-                    np.add.at(mark, starts[has], 1)
-                    np.add.at(mark, starts[has] + DEPTH, -1)
-                gone = np.cumsum(mark)[:n] > 0
+                    has, at = whole.find(p.digest(starts, starts + DEPTH))
+                    starts = starts[has]
+                    starts = starts[windows["doc"][at[has]] < p.ids[np.searchsorted(p.at, starts, "right") - 1]]
+                    gone |= _inside(starts, starts + DEPTH, n)
                 rows = []
                 for k, i in enumerate(p.ids.tolist()):
                     a, b = p.at[k], p.at[k + 1]
