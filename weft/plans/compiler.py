@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.graph import Graph
 from weft.operators import barrier, branch, expand, filters, project
-from weft.plans.language import EXPAND, Fluent, Literal, Name, Query, Step, parse
+from weft.plans.language import EXPAND, Fluent, Literal, Name, Query, Step, Sub, parse
 from weft.plans.state import EDGE, VERTEX, Context, State
 from weft.schema import TraversalError
 
@@ -25,8 +28,47 @@ _BRANCH = {"where": branch.where, "and": branch.branches, "or": branch.branches,
 STEPS = frozenset((*_LOWER, *_BRANCH))
 
 
-def run(s: State, steps: tuple[Step, ...]) -> State:
+_FILTERS = filters.PURE | {"where", "and", "or", "not"}
+_MAPS = frozenset((*EXPAND, "values", "properties", "key", "label"))
+
+
+def _every(steps: tuple[Step, ...]) -> Iterator[Step]:
     for step in steps:
+        yield step
+        for a in step.args:
+            if isinstance(a, Sub):
+                yield from _every(a.steps)
+
+
+def _as_sets(context: Context, steps: tuple[Step, ...]) -> list[bool]:
+    """Before which steps equal traversers are one: a dedup follows, and no step until there tells how many they are."""
+    out, follows = [], False
+    for step in reversed(steps):
+        subs = [a for a in step.args if isinstance(a, Sub)]
+        if step.name == "dedup":
+            follows = not step.args
+        elif step.name in ("union", "repeat"):
+            follows = follows and all(t.name in _FILTERS | _MAPS for a in subs for t in a.steps)
+        else:
+            follows = follows and (step.name in _FILTERS | _MAPS or step.name == "aggregate" and not context.capped)
+        out.append(follows)
+    return out[::-1]
+
+
+def _once(s: State) -> State:
+    """Equal traversers as one; what they remember would tell them apart."""
+    if s.history or s.order:
+        return s
+    s = s.bare()
+    return replace(s, frame=s.frame.distinct())
+
+
+def run(s: State, steps: tuple[Step, ...]) -> State:
+    several = False  # can traversers be equal, by what these steps did?
+    for step, as_set in zip(steps, _as_sets(s.context, steps), strict=True):
+        if as_set and several and (step.name in EXPAND and not step.name.endswith("V") or step.name == "aggregate" and not s.attached):
+            s, several = _once(s), False
+        several = several or step.name in _MAPS or step.name in ("union", "repeat")
         if step.name in _BRANCH:
             s = _BRANCH[step.name](s, step, run)
         elif step.name in _LOWER:
@@ -38,7 +80,7 @@ def run(s: State, steps: tuple[Step, ...]) -> State:
 
 def begin(graph: Graph, query: Query) -> tuple[State, tuple[Step, ...]]:
     """The scan, with the labels that the first filters leave."""
-    context, steps = Context(graph), query.steps
+    context, steps = Context(graph, capped=any(t.name == "cap" for t in _every(query.steps))), query.steps
     if query.source == "E":
         label = None
         if steps and steps[0].name == "hasLabel" and len(steps[0].args) == 1:

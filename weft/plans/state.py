@@ -28,10 +28,11 @@ class Memory:
 
 @dataclass(frozen=True)
 class Context:
-    """What all parts of one query share: the graph and the side effects by name."""
+    """What all parts of one query share: the graph, the side effects by name, and whether a ``cap`` shows them."""
 
     graph: Graph
     effects: dict[str, tuple[DataFrame, str]] = field(default_factory=dict)
+    capped: bool = True
 
 
 @dataclass(frozen=True)
