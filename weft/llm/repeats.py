@@ -13,11 +13,15 @@ digit to the full depth, and groups of one leave after each:
 4. the windows of 50 bytes on the sides that are left.
 
 Digits are 64-bit hashes (48 bits in the first pass, whose groups later passes split again). Each pass combines in the
-input partition first: a partition sends one record for each digit it has, with its smallest document, so a passage that
-a third of all documents share is one record per partition. Answers go back to the partition as one file under the shared
+input part first: a part sends one record for each digit it has, with its smallest document, so a passage that a third of all
+documents share is one record per part. Answers go back to the part as one file under the shared
 folder; what a pass has shuffled is deleted when it ends. Anchors are looked for once and lie beside the texts, as a byte
 for each: the gap to the one before. What meets at a key's bucket is cut by where it came from in one go, so that time is
 linear in the records, however many partitions there are.
+
+A task's memory depends neither on the size of the table nor on how it is partitioned, nor on how much of it repeats: a
+part is ``CHUNK`` bytes of text of one input partition, its questions leave it in blocks of ``BLOCK`` records, and the
+number of buckets comes from the bytes of text, with more in the last pass, which can have a record for each byte.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +46,10 @@ SIDE = (DEPTH - GRAM) // 2
 _LOW = np.uint64((1 << 48) - 1)
 _VALUES = series(256, 21)
 _NO_ID = np.iinfo(np.int64).min
+#: Bytes of text of a part, and of what is unpacked at once; records that a part sends together.
+CHUNK, UNPACKED, BLOCK = 8 << 20, 4 << 20, 1 << 21
+#: Bytes of text for each bucket, where there is a record for about 17 bytes, and where there can be one for each.
+SPARSE, DENSE = 32 << 20, 4 << 20
 
 
 def _sliding(x: np.ndarray, width: int, best: Callable) -> np.ndarray:
@@ -115,9 +124,9 @@ class Keys:
         n = len(keys)
         if n:
             bits = int(keys[-1]).bit_length()
-            digits = min(bits, n.bit_length() + 1)
+            digits = min(bits, max(1, n.bit_length() - 1))
             self.shift, self.most = np.uint64(bits - digits), np.uint64(1 << digits)
-            self.index = np.searchsorted(self.keys >> self.shift, np.arange((1 << digits) + 2, dtype=np.uint64))
+            self.index = np.searchsorted(self.keys >> self.shift, np.arange((1 << digits) + 2, dtype=np.uint64)).astype(np.int32 if n < 1 << 31 else np.int64)
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of wanted are among the keys, their places)."""
@@ -125,7 +134,7 @@ class Keys:
         if not n or not len(wanted):
             return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
         digit = np.minimum(wanted >> self.shift, self.most).astype(np.int64)
-        at, end = self.index[digit], self.index[digit + 1]
+        at, end = self.index[digit].astype(np.int64), self.index[digit + 1]
         if (end - at).max() > 64:  # hashes are even; other numbers need not be
             at = np.searchsorted(self.keys, wanted)
         else:
@@ -216,11 +225,18 @@ def _answer(folder: str, step: int, part: int, kind: np.dtype) -> np.ndarray:
         return _unpacked(file.read(), kind)
 
 
+def _small(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, of the bytes of a column about ``UNPACKED`` in each batch."""
+    for b in batches:
+        for s in slices(pc.binary_length(b.column(column)).to_pylist(), UNPACKED):
+            yield b.slice(s.start, len(s))
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[Part]]]:
     """The columns are part, i, t and, if anchors are known, a."""
 
     def each() -> Iterator[tuple[int, Part]]:
-        for b in batches:
+        for b in _small(batches, 2):
             of, ids = b.column(0).to_pylist(), np.array([_NO_ID if i is None else i for i in b.column(1).to_pylist()], np.int64)
             raw = b.column(2).cast(pa.large_binary() if pa.types.is_large_string(b.column(2).type) else pa.binary()).to_pylist()
             gaps = b.column(3).to_pylist() if b.num_columns > 3 else None
@@ -237,10 +253,15 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[Pa
 
 
 def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows with their anchors."""
-    for b in batches:
+    """The same rows with their anchors and bytes; the part, so far that of Spark, is cut into those of ``CHUNK`` bytes."""
+    done = 0
+    for b in _small(batches, 2):
+        sizes = pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (b.column(0).to_numpy() << 32) + (done + np.cumsum(sizes) - sizes) // CHUNK
+        done += int(sizes.sum())
+        b = pa.RecordBatch.from_arrays([pa.array(part), *b.columns[1:]], ["part", "i", "t"])
         found = [g for _, run in _parts(iter([b])) for p in run for g in p.gaps()]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], ["part", "i", "t", "a"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary()), pa.array(sizes)], ["part", "i", "t", "a", "n"])
 
 
 def _batches(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +269,7 @@ def _batches(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch
 
     def batch() -> pa.RecordBatch:
         *numbers, data = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in numbers), pa.array(data, pa.binary())], names)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(data, pa.binary())], names)
 
     held, size = [], 0
     for row in rows:
@@ -262,7 +283,8 @@ def _batches(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    return (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    """Of batches whose last column has bytes."""
+    return (r for b in batches for s in _small(iter([b]), b.num_columns - 1) for r in zip(*(c.to_pylist() for c in s.columns), strict=True))
 
 
 def _met(sent: list[tuple[int, np.ndarray]], settle: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
@@ -274,27 +296,44 @@ def _met(sent: list[tuple[int, np.ndarray]], settle: Callable[[np.ndarray], tupl
             yield part, out[a:b]
 
 
+def _blocks(found: Iterator, combine: Callable[[list], np.ndarray]) -> Iterator[np.ndarray]:
+    """What is found, an array or several of the same length at a time, combined for each ``BLOCK`` records. A document's are found together."""
+    held, size = [], 0
+    for x in found:
+        held.append(x)
+        size += len(x[0] if isinstance(x, tuple) else x)
+        if size >= BLOCK:
+            yield combine(held)
+            held, size = [], 0
+    if size:
+        yield combine(held)
+
+
 class _Job:
-    """The passes over the laid out documents; ``rows`` has part, i, t, a, the rows of a part together."""
+    """The passes over the laid out documents; ``rows`` has part, i, t, a, the rows of a part together; ``size``: the bytes of all texts."""
 
-    def __init__(self, rows: DataFrame, folder: str, buckets: int):
-        self.rows, self.folder, self.buckets = rows, folder, buckets
+    def __init__(self, rows: DataFrame, folder: str, size: int):
+        self.rows, self.folder, self.size, self.tasks = rows, folder, size, tasks(rows.sparkSession)
 
-    def ask(self, step: int, questions: Callable[[int, Iterator[Part]], np.ndarray], settle: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], asked: np.dtype, told: np.dtype) -> None:
+    def buckets(self, share: int) -> int:
+        return max(self.tasks, -(-self.size // share))
+
+    def ask(self, step: int, share: int, questions: Callable[[int, Iterator[Part]], Iterator[np.ndarray]], settle: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], asked: np.dtype, told: np.dtype) -> None:
         """Each part's questions go to a bucket by key, where all of a key meet; what is settled goes back to the part.
 
+        There is a bucket for each ``share`` bytes of text. ``questions`` gives blocks; a key can be in several.
         ``settle`` gives which of its rows have an answer, and the answers in the order of these.
         """
-        n, folder = self.buckets, f"{self.folder}/answer-{step}"
+        n, to_tasks, folder = self.buckets(share), self.tasks, f"{self.folder}/answer-{step}"
 
         def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for part, run in _parts(batches):
-                found = questions(part, run)
-                to = (found["key"] % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.int64)
-                order = np.argsort(to, kind="stable")
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=n))])
-                for k in np.flatnonzero(np.diff(cuts)).tolist():
-                    yield k, part, _packed(found[order[cuts[k] : cuts[k + 1]]])
+                for found in questions(part, run):
+                    to = (found["key"] % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.int64)
+                    order = np.argsort(to, kind="stable")
+                    cuts = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=n))])
+                    for k in np.flatnonzero(np.diff(cuts)).tolist():
+                        yield k, part, _packed(found[order[cuts[k] : cuts[k + 1]]])
 
         def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for _, run in groupby(_rows(batches), key=lambda r: r[0]):
@@ -314,8 +353,8 @@ class _Job:
                 put_whole(f"{folder}/{part:08d}", lambda out, x=_packed(found[order[begin]]): out.write(x))
                 yield pa.RecordBatch.from_arrays([pa.array([len(begin)], pa.int64())], ["n"])
 
-        sent = self.rows.mapInArrow(send, "bucket int, part int, data binary").repartition(n, "bucket").sortWithinPartitions("bucket", "part")
-        back = sent.mapInArrow(meet, "part int, data binary").repartition(n, "part").sortWithinPartitions("part")
+        sent = self.rows.mapInArrow(send, "bucket long, part long, data binary").repartition(to_tasks, "bucket").sortWithinPartitions("bucket", "part")
+        back = sent.mapInArrow(meet, "part long, data binary").repartition(to_tasks, "part").sortWithinPartitions("part")
         with shuffles_freed(back.sparkSession):
             back.mapInArrow(store, "n long").agg(F.sum("n")).collect()
 
@@ -329,9 +368,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     folder = scratch(spark, "op9")
-    laid = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).cast("long").alias("i"), text_of(text_col).alias("t"))
-    laid.mapInArrow(_lay, "part int, i long, t string, a binary").write.option("compression", "zstd").parquet(f"{folder}/documents")
-    job = _Job(spark.read.schema("part int, i long, t string, a binary").parquet(f"{folder}/documents"), folder, tasks(spark))
+    laid = docs.select(F.spark_partition_id().cast("long").alias("part"), F.col(id_col).cast("long").alias("i"), text_of(text_col).alias("t"))
+    kinds = "part long, i long, t string, a binary, n long"
+    laid.mapInArrow(_lay, kinds).write.option("compression", "zstd").parquet(f"{folder}/documents")
+    rows = spark.read.schema(kinds).parquet(f"{folder}/documents")
+    job = _Job(rows.drop("n"), folder, rows.agg(F.sum("n")).first()[0] or 0)
 
     def held(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Of (keys, ids): each key, and whether more than one id has it."""
@@ -343,8 +384,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             out["key"], out["many"] = keys[order[begin]], np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin)
         return out
 
-    def first(part: int, run: Iterator[Part]) -> np.ndarray:
-        return held([(p.keys, p.ids[p.owner]) for p in run])
+    def first(part: int, run: Iterator[Part]) -> Iterator[np.ndarray]:
+        return _blocks(((p.keys, p.ids[p.owner]) for p in run), held)
 
     def known(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order, begin, group = _groups(every["key"])
@@ -353,16 +394,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             use[order] = ((np.diff(np.append(begin, len(order))) > 1) | np.logical_or.reduceat(every["many"][order], begin))[group]
         return use, every[use]
 
-    job.ask(1, first, known, _FIRST, _FIRST)
+    job.ask(1, SPARSE, first, known, _FIRST, _FIRST)
+
+    def second(part: int, run: Iterator[Part]) -> Iterator[np.ndarray]:
+        alive = Keys(_answer(folder, 1, part, _FIRST)["key"])
 
-    def second(part: int, run: Iterator[Part]) -> np.ndarray:
-        alive, found = Keys(_answer(folder, 1, part, _FIRST)["key"]), []
-        for p in run:
-            some = np.flatnonzero(alive.find(p.keys)[0])
-            x = np.empty(len(some), _SECOND)
-            x["key"], x["doc"], x["context"], x["mixed"] = p.keys[some], p.doc(some), p.contexts(some), False
-            found.append(x)
-        return smallest(np.concatenate(found))[0]
+        def found() -> Iterator[np.ndarray]:
+            for p in run:
+                some = np.flatnonzero(alive.find(p.keys)[0])
+                x = np.empty(len(some), _SECOND)
+                x["key"], x["doc"], x["context"], x["mixed"] = p.keys[some], p.doc(some), p.contexts(some), False
+                yield x
+
+        return _blocks(found(), lambda x: smallest(np.concatenate(x))[0])
 
     def smallest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(for each key its smallest document, that one's smallest context, and whether there are others; order, group of each in order)."""
@@ -381,29 +425,36 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         out[order] = found[group]
         return np.ones(len(every), bool), out
 
-    job.ask(2, second, alike, _SECOND, _SECOND)
+    job.ask(2, SPARSE, second, alike, _SECOND, _SECOND)
 
-    def third(part: int, run: Iterator[Part]) -> np.ndarray:
-        answer, found = _answer(folder, 2, part, _SECOND), []
+    def third(part: int, run: Iterator[Part]) -> Iterator[np.ndarray]:
+        answer = _answer(folder, 2, part, _SECOND)
         keys = Keys(answer["key"])
-        for p in run:
-            r = Resolved(p, answer, keys)
-            found += [(digit[ok], p.doc(r.open[ok])) for digit, ok, _, _ in _sides(p, r.open)]
-        return held(found)
 
-    job.ask(3, third, known, _FIRST, _FIRST)
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for p in run:
+                r = Resolved(p, answer, keys)
+                both = [(digit[ok], p.doc(r.open[ok])) for digit, ok, _, _ in _sides(p, r.open)]
+                yield tuple(np.concatenate(x) for x in zip(*both, strict=True))
+
+        return _blocks(found(), held)
+
+    job.ask(3, SPARSE, third, known, _FIRST, _FIRST)
 
-    def last(part: int, run: Iterator[Part]) -> np.ndarray:
-        answer, sides, found = _answer(folder, 2, part, _SECOND), Keys(_answer(folder, 3, part, _FIRST)["key"]), []
+    def last(part: int, run: Iterator[Part]) -> Iterator[np.ndarray]:
+        answer, sides = _answer(folder, 2, part, _SECOND), Keys(_answer(folder, 3, part, _FIRST)["key"])
         keys = Keys(answer["key"])
-        for p in run:
-            r = Resolved(p, answer, keys)
-            if len(r.open):
-                starts = _windows(p, r.open, r.gone, sides)
-                x = np.empty(len(starts), _LAST)
-                x["key"], x["doc"], x["many"] = p.digest(starts, starts + DEPTH), p.ids[np.searchsorted(p.at, starts, "right") - 1], False
-                found.append(x)
-        return least(np.concatenate(found))[0] if found else np.empty(0, _LAST)
+
+        def found() -> Iterator[np.ndarray]:
+            for p in run:
+                r = Resolved(p, answer, keys)
+                if len(r.open):
+                    starts = _windows(p, r.open, r.gone, sides)
+                    x = np.empty(len(starts), _LAST)
+                    x["key"], x["doc"], x["many"] = p.digest(starts, starts + DEPTH), p.ids[np.searchsorted(p.at, starts, "right") - 1], False
+                    yield x
+
+        return _blocks(found(), lambda x: least(np.concatenate(x))[0])
 
     def least(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(for each key its smallest document, and whether there are others; order, group of each in order)."""
@@ -422,7 +473,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         use = found["many"][to] if len(every) else np.zeros(0, bool)
         return use, found[to[use]]
 
-    job.ask(4, last, repeated, _LAST, _LAST)
+    job.ask(4, DENSE, last, repeated, _LAST, _LAST)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts]
     types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * texts
 
