@@ -19,8 +19,8 @@ folder; what a pass has shuffled is deleted when it ends. Anchors are looked for
 for each: the gap to the one before. What meets at a key's bucket is cut by where it came from in one go, so that time is
 linear in the records, however many partitions there are.
 
-A task's memory depends neither on the size of the table nor on how it is partitioned, nor on how much of it repeats: a
-part is ``CHUNK`` bytes of text of one input partition, its questions leave it in blocks of ``BLOCK`` records, and the
+A Python worker's memory is to depend neither on the size of the table nor on how it is partitioned: a part is ``CHUNK``
+bytes of text of one input partition, and the rest of its last text; its questions leave it in blocks of ``BLOCK`` records, and the
 number of buckets comes from the bytes of text, with more in the last pass, which can have a record for each byte.
 """
 
